@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quadlake.llm import exact_dedup, mixing, sharding
+from quadlake.llm import exact_dedup, mixing, pii, sharding, warc
 
 QUERIES = {
+    "op2_warc": warc.op2,
     "op4_exact_dedup": exact_dedup.op4,
     "op8_sharding": sharding.op8,
     "op9_mixing": mixing.op9,
+    "op10_pii": pii.op10,
 }
 SQL = {
+    "op2_warc": warc.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
