@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quadlake.llm import exact_dedup, mixing, pii, sharding, warc
+from quadlake.llm import decontam, exact_dedup, lang_id, mixing, pii, sharding, warc
 
 QUERIES = {
     "op2_warc": warc.op2,
+    "op3_decontamination": decontam.op3,
     "op4_exact_dedup": exact_dedup.op4,
+    "op7_language_id": lang_id.op7,
     "op8_sharding": sharding.op8,
     "op9_mixing": mixing.op9,
     "op10_pii": pii.op10,
