@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quadlake.llm import decontam, exact_dedup, lang_id, mixing, pii, sharding, warc
+from quadlake.llm import decontam, exact_dedup, lang_id, mixing, pii, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2,
     "op3_decontamination": decontam.op3,
     "op4_exact_dedup": exact_dedup.op4,
+    "op5_toxicity": toxicity.op5,
+    "op6_quality": quality.op6,
     "op7_language_id": lang_id.op7,
     "op8_sharding": sharding.op8,
     "op9_mixing": mixing.op9,
