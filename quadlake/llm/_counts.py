@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,8 +20,8 @@ def terms(text: str) -> list[str]:
     return TERM.findall(text.lower())
 
 
-def term_counts(df: DataFrame, text: Column, *, distinct: bool) -> DataFrame:
-    """term, n: rows that hold the term (`distinct`) or its occurrences, over every row and whole text. Tasks count first."""
+def term_counts(df: DataFrame, text: Column, keys: Callable[[str], Iterable[str]] = lambda t: set(terms(t))) -> DataFrame:
+    """term, n: rows whose text has the key, over every row and whole text. Tasks count first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
@@ -32,7 +32,7 @@ def term_counts(df: DataFrame, text: Column, *, distinct: bool) -> DataFrame:
         for batch in batches:
             for x in batch.column(0):
                 if t := x.as_py():
-                    held.update(set(terms(t)) if distinct else terms(t))
+                    held.update(keys(t))
                     if len(held) > FLUSH:
                         yield out()
                         held.clear()

@@ -115,7 +115,7 @@ def disclosures(found: DataFrame, texts: DataFrame, *, min_bits: float, min_disc
     term = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__ql_t"), F.lit(r"\p{L}{2,}"), F.lit(0)))).alias("term")
     together = at_stake.select("__ql_key", term).join(guarded, "__ql_key").groupBy("term", "e").agg(F.sum("w").alias("cte"), F.count(F.lit(1)).alias("texts"), F.first("ce").alias("ce")).filter(F.col("texts") >= min_texts)
     together = stash(together, "together")
-    ct = term_counts(texts, F.col("__ql_t"), distinct=True)
+    ct = term_counts(texts, F.col("__ql_t"))
     pmi = F.log2(F.lit(float(n)) * F.col("cte") / (F.greatest("n", "cte") * F.col("ce")))
     telling = together.join(ct, "term").filter((pmi >= min_bits) & (pmi >= min_disclosure * F.log2(F.lit(float(n)) / F.col("ce")))).select("term", "e")
     hits = at_stake.select("__ql_key", term).join(guarded.select("__ql_key", "e"), "__ql_key").join(telling, ["term", "e"]).groupBy("__ql_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))

@@ -52,6 +52,33 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - x) for a, b, x, r in zip(starts, ends, lefts, rights, strict=True)]
 
 
+def keys(text: str) -> set[str]:
+    """What is counted once for each text: its tokens and, for tokens never seen before, their stems."""
+    found = set(terms(text))
+    return found | {stem(t) for t in found}
+
+
+def stem(token: str) -> str:
+    return f"^{token[:4]}"
+
+
+class Scores(dict):
+    """Scores of tokens, remembered once looked up: the token's own, else its stem's, else that of the rest."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, token: str) -> float:
+        m = self.model
+        found = m.tokens.get(token)
+        if found is None:
+            found = m.tokens.get(stem(token), m.rest)
+        if len(self) < 2_000_000:
+            self[token] = found
+        return found
+
+
 @dataclass
 class Model:
     tokens: dict[str, float]  #: log-odds of the tokens that tell something
@@ -60,9 +87,8 @@ class Model:
     size: float = 0.1  #: K of the extreme-value law
     weights: tuple[float, float, float] = (-3.0, 1.0, 0.0)
 
-    def find(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        get, rest = self.tokens.get, self.rest
-        found = np.array([get(t, rest) for t in terms(text)], float)
+    def find(self, text: str, scores: Scores) -> tuple[int, list[tuple[int, int, float]]]:
+        found = np.array([scores[t] for t in terms(text)], float)
         return len(found), segments(found) if len(found) else []
 
     def excess(self, n: int, found: list[tuple[int, int, float]]) -> tuple[float, float, list[tuple[int, int, float]]]:
@@ -88,7 +114,7 @@ def _count_by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            held.update((t, y) for t in terms(text or ""))
+            held.update((t, y) for t in keys(text or ""))
             if len(held) > FLUSH:
                 yield out()
                 held.clear()
@@ -106,19 +132,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(rows: DataFrame, corpus: DataFrame, *, text_col: str = "text", strength: float = 500.0, min_z: float = 3.0, max_tokens: int = 1 << 16) -> Model:
+def train(rows: DataFrame, corpus: DataFrame, *, text_col: str = "text", strength: float = 0.1, min_z: float = 2.5, max_tokens: int = 1 << 16) -> Model:
     """rows: text and label of the bounded sample; corpus: all rows, whose counts shape the prior.
 
-    `strength` is the prior's weight in tokens; the `max_tokens` tokens with the largest z over `min_z` keep scores of their own.
+    Counts are of texts, so that a text that repeats a token counts once. `strength` is the prior's weight in labelled tokens; the `max_tokens` tokens with the largest z over `min_z` keep scores of their own.
     """
     by = rows.mapInArrow(_count_by_label, "term string, label int, n long").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("y0"))
-    by = by.join(term_counts(corpus, F.col(f"`{text_col}`"), distinct=False), "term", "left").withColumn("n", F.greatest(F.coalesce("n", F.lit(0)), F.col("y1") + F.col("y0")))
+    by = by.join(term_counts(corpus, F.col(f"`{text_col}`"), keys), "term", "left").withColumn("n", F.greatest(F.coalesce("n", F.lit(0)), F.col("y1") + F.col("y0")))
     by = stash(by, "token-counts")
     n1, n0, total = (float(x or 0) for x in by.agg(F.sum("y1"), F.sum("y0"), F.sum("n")).first())
     if not n1 or not n0:
         return Model({}, -0.1)
-    a = F.lit(strength) * F.col("n") / F.lit(total)
-    odds = lambda y, n: F.log((y + a) / (n + strength - y - a))
+    weight = strength * (n1 + n0)
+    a = F.lit(weight) * F.col("n") / F.lit(total)
+    odds = lambda y, n: F.log((y + a) / (n + weight - y - a))
     delta = odds(F.col("y1"), F.lit(n1)) - odds(F.col("y0"), F.lit(n0))
     z = delta / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
     top = by.select("term", "y1", "y0", delta.alias("delta"), z.alias("z")).filter(F.abs("z") >= min_z).orderBy(F.abs("z").desc(), "term").limit(max_tokens).toArrow().to_pydict()
@@ -130,8 +157,9 @@ def train(rows: DataFrame, corpus: DataFrame, *, text_col: str = "text", strengt
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(shared.value)
         for batch in batches:
-            out = [(y, *shared.value.find(t or "")) for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True)]
+            out = [(y, *shared.value.find(t or "", scores)) for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _, _ in out], pa.int32()), pa.array([n for _, n, _ in out], pa.int32()), pa.array([[s for _, _, s in f] for _, _, f in out], pa.list_(pa.float64()))], names=["label", "n", "scores"])
 
     # One row of the bounded sample each.
@@ -162,10 +190,11 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        scores = Scores(m)
         for batch in batches:
             values, passages = [], []
             for t in batch.column(text_col):
-                best, total, good = m.excess(*m.find(t.as_py() or ""))
+                best, total, good = m.excess(*m.find(t.as_py() or "", scores))
                 values.append(m.probability(best, total))
                 passages.append([{"start": a, "end": b, "score": s} for a, b, s in good])
             i, j = batch.schema.get_field_index("toxicity"), batch.schema.get_field_index("passages")
