@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quadlake.llm import decontam, exact_dedup, lang_id, mixing, pii, quality, sharding, toxicity, warc
+from quadlake.llm import decontam, exact_dedup, lang_id, mixing, ngram_join, pii, quality, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1,
     "op2_warc": warc.op2,
     "op3_decontamination": decontam.op3,
     "op4_exact_dedup": exact_dedup.op4,
