@@ -651,3 +651,65 @@ def search_fields(spark, sf):
 @query("SELECT 'urn:x-table:nation' AS graph_iri, '-' AS main_type, count(*) AS node_count, list_sort(list(n_name)) AS literal FROM nation")
 def derive_documents(spark, sf):
     return search.derive(table_quads(spark, sf, "nation"), table_imports(spark), [["Part"], ["Organization"]]).select("graph_iri", "main_type", "node_count", "literal")
+
+
+# ---- streaming, stores and formats
+
+@query("SELECT user_id, max_by(event_type, struct_pack(a := ts, b := event_id)) AS last_type, max(ts)::TIMESTAMP AS ts FROM events GROUP BY user_id")
+def stream_index_update(spark, sf):
+    """The newest event of each user, kept by a stream over the table's files."""
+    import uuid
+
+    from quadlake._io import shared_dir
+    from quadlake.streaming import changes
+
+    at = f"{shared_dir(spark)}/quadlake/stream-{uuid.uuid4().hex}"
+    read(spark, sf, "events").write.parquet(f"{at}/feed")
+    derive = lambda b: b.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.max("ts").alias("ts"))
+    changes.update_index(changes.stream(spark, f"{at}/feed"), f"{at}/index", f"{at}/checkpoint", derive, key=["user_id"], version="ts").awaitTermination()
+    return changes.current(spark, f"{at}/index", ["user_id"], "ts").select("user_id", "last_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("SELECT count(*) AS statements, 0::BIGINT AS differences FROM (SELECT unnest(['a', 'b']) FROM nation)")
+def turtle_roundtrip(spark, sf):
+    """A graph written as Turtle and read back."""
+    import uuid
+
+    from quadlake._io import shared_dir
+    from quadlake.sources import turtle
+
+    at = f"{shared_dir(spark)}/quadlake/turtle-{uuid.uuid4().hex}"
+    q = table_quads(spark, sf, "nation")
+    turtle.write_turtle(q, at)
+    text = spark.read.text(at, wholetext=True).select("value")
+    back = turtle.quads(turtle.read_text(spark, text, f"{T}nation"))
+    return back.agg(F.count(F.lit(1)).alias("statements")).crossJoin(sets.difference(q, back).agg(F.count(F.lit(1)).alias("differences")))  # one row each
+
+
+@query("SELECT 2::BIGINT AS graphs, (SELECT count(*) * 2 FROM nation) + (SELECT count(*) FROM region) AS statements, 0::BIGINT AS differences")
+def trig_roundtrip(spark, sf):
+    from quadlake.sources import turtle
+
+    q = tables_quads(spark, sf, ["nation", "region"])
+    back = turtle.quads(turtle.read_text(spark, turtle.trig_text(q).select(F.col("text").alias("value")), "urn:default", trig=True))
+    return back.agg(F.countDistinct("graph_iri").alias("graphs"), F.count(F.lit(1)).alias("statements")).crossJoin(sets.difference(q, back).agg(F.count(F.lit(1)).alias("differences")))  # one row each
+
+
+@query("SELECT 3::BIGINT AS commits, (SELECT count(*) FROM nation) AS first, (SELECT count(*) FROM nation WHERE n_nationkey > 4) AS tip, (SELECT count(*) FROM nation WHERE n_nationkey <= 4) AS removed")
+def commit_checkout(spark, sf):
+    """Two commits of a graph on a branch and one of another, checked out again."""
+    import uuid
+
+    from quadlake._io import shared_dir
+    from quadlake.plans.store import Repository
+
+    repo = Repository.create(spark, f"{shared_dir(spark)}/quadlake/repo-{uuid.uuid4().hex}")
+    q = table_quads(spark, sf, "nation", ["n_name"])
+    ds = spark.range(1).select(iri.graph_id(F.lit(f"{T}nation"))).first()[0]
+    one = repo.commit(q, [f"{T}nation"], message="all", author="a", ts="2024-01-01 00:00:00")
+    some = q.filter(F.regexp_extract("s_id", "#([0-9]+)$", 1).cast("int") > 4)
+    two = repo.commit(some, [f"{T}nation"], message="some", author="a", checked_out=[one], ts="2024-01-02 00:00:00")
+    repo.commit(table_quads(spark, sf, "region"), [f"{T}region"], message="more", author="b", ts="2024-01-03 00:00:00")
+    count = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
+    removed = repo.commit_difference(two).filter("flag = -1")
+    return count(repo.table("commits"), "commits").crossJoin(count(repo.checkout_commit(one, ds), "first")).crossJoin(count(repo.checkout_branch(ds), "tip")).crossJoin(count(removed, "removed"))  # one row each
