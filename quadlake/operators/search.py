@@ -65,8 +65,8 @@ def match_all() -> Column:
 
 
 def match(name: str, text: str) -> Column:
-    """Any of the words of the text."""
-    return F.arrays_overlap(field(name), F.array(*map(F.lit, re.findall(r"\w+", text.lower()) or [""])))
+    """Any of the words of the text, or the text as one token."""
+    return F.arrays_overlap(field(name), F.array(*map(F.lit, [*re.findall(r"\w+", text.lower()), text.lower()])))
 
 
 def term(name: str, token: str) -> Column:

@@ -84,6 +84,8 @@ class Parser:
     def __post_init__(self):
         self.prefixes: dict[str, str] = {}
         self.labels: dict[str, str] = {}
+        #: New blank nodes are numbered under the graph and the text, so that parsing again, after a lost executor say, gives the same.
+        self.seed, self.made = uuid.uuid5(uuid.NAMESPACE_URL, f"{self.graph}\n{self.text}"), 0
         self.at, self.kind, self.value, self.line = 0, "", "", 1
         self.out: list[tuple[str, Term, str, Term]] = []
         self.current = self.graph
@@ -275,17 +277,21 @@ class Parser:
         self.step()
         return out
 
+    def new_blank(self) -> str:
+        self.made += 1
+        return str(uuid.uuid5(self.seed, str(self.made)))
+
     def blank(self) -> Term:
-        """A UUID keeps its place as a label; other labels get a new one in each text."""
+        """A UUID keeps its place as a label; other labels get one of their own in each text."""
         label = self.value[2:]
         self.step()
         if label not in self.labels:
-            self.labels[label] = label.lower() if re.match(fn.UUID, label) else str(uuid.uuid4())
+            self.labels[label] = label.lower() if re.match(fn.UUID, label) else self.new_blank()
         return Term("blank", self.labels[label])
 
     def blank_list(self) -> tuple[Term, str]:
         """The node and `full` or `empty`."""
-        s = Term("blank", str(uuid.uuid4()))
+        s = Term("blank", self.new_blank())
         self.step()
         if self.is_mark("]"):
             self.step()
@@ -300,7 +306,7 @@ class Parser:
         while not self.is_mark(")"):
             items.append(self.object())
         self.step()
-        cells = [Term("blank", str(uuid.uuid4())) for _ in items] + [Term("iri", RDF_NIL)]
+        cells = [Term("blank", self.new_blank()) for _ in items] + [Term("iri", RDF_NIL)]
         for cell, item, rest in zip(cells, items, cells[1:], strict=False):
             self.out.append((self.current, cell, RDF_FIRST, item))
             self.out.append((self.current, cell, RDF_REST, rest))
