@@ -29,10 +29,13 @@ from quadlake.llm._tokens import batches_of, mix, windows, words
 GROUPS, FANOUT = 256, 16
 #: Shingles of a chunk, and members that all chunks of a block share.
 CHUNK_WEIGHT, HUBS = 400_000, 32
-#: Frequent shingles told to all tasks at most; the order of the others does not know their frequency. Results do not depend on it.
-FREQUENT, FREQUENT_FROM = 1 << 20, 8
+#: What all tasks are told of frequencies: a bit for each of 2**SLOTS slots of repeated shingles, and the counts of the FREQUENT
+#: most frequent ones. Beyond these bounds the order is coarser and more candidates need verification; results are the same.
+SLOTS, FREQUENT = 28, 1 << 20
 #: Shingles that a task of the counting pass holds.
 COUNTED = 4 << 20
+#: Members whose texts are looked up by broadcasting their ids; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 FLUSH_ROWS = 1 << 20
 
 
@@ -65,41 +68,137 @@ def _sets_of(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch
 
 
 def _survey(width: int):
-    """Rows of two kinds: id, n, d1, d2 for each document, and token, seen for shingles that a task saw in several of its classes."""
+    """id, n, d1, d2 of each document."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sets in _sets_of(batch, width):
+                marks = [digest(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], names=["id", "n", "d1", "d2"])
+
+    return look
+
+
+def _spectrum(width: int, k: int):
+    """bucket, data: the shingles of a task's classes by their first k bits, the 32 bits after them sorted and coded as differences, in
+    four planes of bytes. What the coding leaves out can only make shingles look more frequent than they are."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
-        names = ["id", "n", "d1", "d2", "token", "seen"]
 
-        def frequent() -> pa.RecordBatch:
-            token, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            token, count = token[count > 1].view(np.int64), count[count > 1]
-            none = pa.nulls(len(token), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token), pa.array(count, pa.int64())], names=names)
+        def out() -> Iterator[pa.RecordBatch]:
+            keys = np.sort(np.concatenate(held)) >> np.uint64(32 - k)
+            cut = np.searchsorted(keys, np.arange((1 << k) + 1, dtype=np.uint64) << np.uint64(32))
+            full = [b for b in range(1 << k) if cut[b] < cut[b + 1]]
+            data = [np.diff(keys[cut[b] : cut[b + 1]] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for b in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
         for batch in batches:
-            for part, sets in _sets_of(batch, width):
-                marks = [digest(s) for s in sets]
-                none = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), none, none], names=names)
-                for s, m in zip(sets, marks, strict=True):
-                    if len(s) and m not in seen:
-                        seen.add(m)
+            for _, sets in _sets_of(batch, width):
+                for s in sets:
+                    if len(s) and (mark := digest(s)) not in seen:
+                        seen.add(mark)
                         held.append(s)
                         size += len(s)
                 if size > COUNTED:
-                    yield frequent()
+                    yield from out()
                     held, size, seen = [], 0, set()
-        yield frequent()
+        if held:
+            yield from out()
 
     return look
 
 
-def _postings(width: int, t: float, frequent):
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by bucket: the values that occur more than once and the powers of two of their counts."""
+
+    def out(bucket: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        values, levels = values[counts > 1], np.floor(np.log2(counts[counts > 1])).astype(np.uint8)
+        each = np.bincount(levels, minlength=64)[:64]
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([values.astype("<u4").tobytes()], pa.binary()), pa.array([levels.tobytes()], pa.binary()), pa.array([each.tolist()], pa.list_(pa.int64()))], names=["bucket", "values", "levels", "each"])
+
+    at, parts = None, []
+    for batch in batches:
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
+            if bucket != at and parts:
+                yield out(at, parts)
+                parts = []
+            at = bucket
+            planes = np.frombuffer(data.as_buffer(), np.uint8).reshape(4, -1)
+            parts.append(np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint64).astype(np.uint32))
+    if parts:
+        yield out(at, parts)
+
+
+def _bits(k: int, m: int, least: int):
+    """bucket, bits: which of the bucket's share of 2**m slots hold a value of at least this level."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for values, levels in zip(batch.column("values").to_pylist(), batch.column("levels").to_pylist(), strict=True):
+                slots = np.zeros(1 << (m - k), bool)
+                slots[np.frombuffer(values, "<u4")[np.frombuffer(levels, np.uint8) >= least] >> np.uint32(32 - (m - k))] = True
+                out.append(np.packbits(slots).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(out, pa.binary())], names=["bucket", "bits"])
+
+    return look
+
+
+def _chosen(k: int, least: int):
+    """key, level of the values of at least this level."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, values, levels in zip(*(batch.column(c).to_pylist() for c in ("bucket", "values", "levels")), strict=True):
+                levels = np.frombuffer(levels, np.uint8)
+                keys = (np.uint64(bucket) << np.uint64(32)) | np.frombuffer(values, "<u4")[levels >= least].astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(levels[levels >= least].astype(np.int32))], names=["key", "level"])
+
+    return look
+
+
+class Order:
+    """How late a shingle comes: 0 for one held once, as far as is known, else about the power of two of its count. It is the same
+    function in all tasks, which is all that the results depend on; its size is bounded."""
+
+    def __init__(self, docs: DataFrame, width: int, shingles: int):
+        k = self.k = min(16, max(6, math.ceil(math.log2(max(1, shingles) / 500_000))))
+        # Rows are whole blobs: a task has one bucket's at a time.
+        spectrum = docs.select("text").mapInArrow(_spectrum(width, k), "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
+        found = stash(spectrum.mapInArrow(_repeated, "bucket int, values binary, levels binary, each array<long>"), "repeated")
+        sums = found.agg(*[F.coalesce(F.sum(F.col("each")[i]), F.lit(0)) for i in range(64)]).first()
+        above = [sum(sums[i:]) for i in range(64)]
+        least = next(i for i in range(1, 64) if above[i] * 4 <= 1 << SLOTS)
+        self.m = max(k + 3, min(SLOTS, math.ceil(math.log2(16 * max(1, above[least])))))
+        size = 1 << (self.m - 3 - k)
+        slots = bytearray(size << k)
+        for r in found.select("bucket", "values", "levels").mapInArrow(_bits(k, self.m, least), "bucket int, bits binary").toLocalIterator():
+            slots[r["bucket"] * size : (r["bucket"] + 1) * size] = r["bits"]
+        self.slots = np.frombuffer(bytes(slots), np.uint8)
+        top = next(i for i in range(2, 65) if i == 64 or above[i] <= FREQUENT)
+        told = found.select("bucket", "values", "levels").mapInArrow(_chosen(k, top), "key long, level int").toArrow()  # FREQUENT rows at most
+        keys = np.asarray(told.column("key").combine_chunks() if told.num_rows else pa.array([], pa.int64())).view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.levels = keys[order], np.asarray(told.column("level").combine_chunks() if told.num_rows else pa.array([], pa.int32()))[order]
+        unstash(found)
+
+    def level(self, s: np.ndarray) -> np.ndarray:
+        slot = (s >> np.uint64(64 - self.m)).astype(np.int64)
+        out = (self.slots[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
+        if len(self.keys):
+            key = s >> np.uint64(32 - self.k)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out = np.where(self.keys[at] == key, self.levels[at], out)
+        return out
+
+
+def _postings(width: int, t: float, order):
     """token, node for the first shingles of each class; a task sends a class once."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, levels = frequent.value
+        level = order.value.level
         seen: set[int] = set()
         held, owners, size = [], [], 0
 
@@ -116,10 +215,7 @@ def _postings(width: int, t: float, frequent):
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(node)
-                    if len(tokens):
-                        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                        s = s[np.argsort(np.where(tokens[at] == s, levels[at], 0), kind="stable")]
-                    held.append(s[: prefix_length(len(s), t)])
+                    held.append(s[np.argsort(level(s), kind="stable")][: prefix_length(len(s), t)])
                     owners.append(node)
                     size += len(held[-1])
                 if size > FLUSH_ROWS:
@@ -250,7 +346,10 @@ def _join_chunks(width: int, t: float):
 
 def _search(texts: DataFrame, plan: DataFrame, width: int, t: float) -> DataFrame:
     """Runs the chunks of plan (key, rep, role, known) on the texts (id, text) of their members."""
-    rows = plan.join(texts, F.col("rep") == F.col("id")).select("key", "rep", "role", "known", "text")
+    plan = stash(plan, "plan")
+    if plan.count() <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
+    rows = texts.join(plan, F.col("rep") == F.col("id")).select("key", "rep", "role", "known", "text")
     return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_join_chunks(width, t), "a long, b long")
 
 
@@ -267,23 +366,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     t = threshold
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    survey = stash(docs.mapInArrow(_survey(width), "id long, n long, d1 long, d2 long, token long, seen long"), "survey")
-    rows = survey.filter("token IS NULL").select("id", "n", "d1", "d2")
-
-    # Frequent shingles by powers of two of their count; as many powers as fit.
-    counts = survey.filter("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= FREQUENT_FROM)
-    counts = stash(counts.select("token", F.floor(F.log2("seen")).cast("int").alias("level")), "frequent")
-    room, least = FREQUENT, 64
-    for level, n in sorted(((r["level"], r["n"]) for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
-        if n > room:
-            break
-        room, least = room - n, level
-    told = counts.filter(F.col("level") >= least).toArrow()  # FREQUENT rows at most
-    token = np.asarray(told.column("token").combine_chunks()).view(np.uint64)
-    order = np.argsort(token)
-    frequent = df.sparkSession.sparkContext.broadcast((token[order], np.asarray(told.column("level").combine_chunks())[order]))
-
-    runs = docs.filter("id IS NOT NULL").select("text").mapInArrow(_postings(width, t, frequent), "token long, node long").repartition("token").sortWithinPartitions("token", "node")
+    rows = stash(docs.mapInArrow(_survey(width), "id long, n long, d1 long, d2 long"), "survey")
+    order = df.sparkSession.sparkContext.broadcast(Order(docs, width, rows.agg(F.sum("n")).first()[0] or 0))
+
+    runs = docs.filter("id IS NOT NULL").select("text").mapInArrow(_postings(width, t, order), "token long, node long").repartition("token").sortWithinPartitions("token", "node")
     links = stash(runs.mapInArrow(_runs, "a long, b long").distinct(), "candidates")
     blocks = stash(components(links), "blocks")
     unstash(links)
