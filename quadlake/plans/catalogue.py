@@ -713,3 +713,163 @@ def commit_checkout(spark, sf):
     count = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
     removed = repo.commit_difference(two).filter("flag = -1")
     return count(repo.table("commits"), "commits").crossJoin(count(repo.checkout_commit(one, ds), "first")).crossJoin(count(repo.checkout_branch(ds), "tip")).crossJoin(count(removed, "removed"))  # one row each
+
+
+# ---- further operators
+
+@query("SELECT 'urn:x-table:nation' AS graph_iri, '<urn:x-table:nation#' || n_nationkey || '>' AS s, '<urn:x-table:nation/n_regionkey>' AS p, '<urn:x-table:region#' || n_regionkey || '>' AS o FROM nation UNION ALL SELECT 'urn:x-table:nation', '<urn:x-table:nation#' || n_nationkey || '>', '<urn:x-table:nation/n_name>', '\"' || n_name || '\"^^<http://www.w3.org/2001/XMLSchema#string>' FROM nation")
+def dump_triples(spark, sf):
+    return patterns.dump(table_quads(spark, sf, "nation"))
+
+
+@query("SELECT 'r:' || r_regionkey AS token FROM region WHERE false UNION ALL SELECT '<urn:x-table:region#' || r_regionkey || '>' FROM region UNION ALL SELECT 'c:' || upper(r_name[1]) FROM region")
+def prefixed_fragment(spark, sf):
+    """A local name that starts with a digit keeps its brackets."""
+    r = read(spark, sf, "region")
+    number = r.select(iri.prefixed(F.concat(F.lit(f"{T}region#"), F.col("r_regionkey").cast("string")), {"r": f"{T}region#"}).alias("token"))
+    return number.union(r.select(iri.prefixed(F.concat(F.lit("http://c#"), F.upper(F.substring("r_name", 1, 1))), {"c": "http://c#"})))
+
+
+@query("SELECT c_custkey AS key, '\"' || replace(c_name || chr(10) || '\"', '\"', '\\\"') || '\"' AS quoted FROM customer WHERE false UNION ALL SELECT c_custkey, replace(c_name || '\\n\\\"', '#', '#') FROM customer")
+def escape_literal(spark, sf):
+    return read(spark, sf, "customer").select(F.col("c_custkey").alias("key"), iri.escape_literal(F.concat("c_name", F.lit('\n"'))).alias("quoted"))
+
+
+@query("SELECT page_id, url AS decoded FROM pages")
+def file_name_roundtrip(spark, sf):
+    """base64url file names of IRIs, decoded again."""
+    return read(spark, sf, "pages").select("page_id", iri.from_file_name(iri.file_name(F.col("url"))).alias("decoded"))
+
+
+@query("SELECT c_custkey AS key, [c_custkey::DOUBLE, c_nationkey::DOUBLE] AS numbers, NULL::DOUBLE[] AS too_many FROM customer")
+def parse_floats(spark, sf):
+    c, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    return read(spark, sf, "customer").select(F.col("c_custkey").alias("key"), iri.floats(F.concat_ws(" ", c, n)).alias("numbers"), iri.floats(F.concat_ws(" ", c, n, c, n)).alias("too_many"))
+
+
+@query("SELECT s_suppkey AS key, s_nationkey * 2.0::DOUBLE AS a, s_suppkey * 2.0::DOUBLE + 5.0::DOUBLE AS e FROM supplier")
+def matrix_multiply(spark, sf):
+    zero, one = F.lit(0.0), F.lit(1.0)
+    m = iri.affine([F.lit(2.0), zero, zero, F.lit(2.0), F.lit(5.0), zero], [F.col("s_nationkey").cast("double"), zero, zero, one, F.col("s_suppkey").cast("double"), zero])
+    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), m[0].alias("a"), m[4].alias("e"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS text, strftime(date_trunc('second', ts) - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS shifted FROM events")
+def commit_time(spark, sf):
+    """Commit times as text, and read back with a zone two hours ahead."""
+    t = iri.rfc3339(F.col("ts").cast("timestamp"))
+    return read(spark, sf, "events").select("event_id", t.alias("text"), iri.rfc3339(iri.parse_time(F.replace(t, F.lit("Z"), F.lit("+02:00")))).alias("shifted"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def language_tags(spark, sf):
+    d = read(spark, sf, "documents")
+    return d.filter(iri.language_tag_ok(F.col("lang")) & ~iri.language_tag_ok(F.concat("lang", F.lit("-a-b")))).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT page_id FROM pages WHERE url LIKE 'http%:%'")
+def iri_validation(spark, sf):
+    return read(spark, sf, "pages").filter(iri.iri_ok(F.col("url")) & ~iri.iri_ok(F.concat("url", F.lit(" <x>")))).select("page_id")
+
+
+@query("SELECT 'urn:x-table:orders#' || o_orderkey AS s_id FROM orders WHERE o_custkey <> 11")
+def delete_node(spark, sf):
+    return mutation.delete_node(table_quads(spark, sf, "orders", ["o_custkey"]), f"{T}customer#11").select("s_id")
+
+
+@query("SELECT 'urn:x-table:orders#' || o_orderkey AS s_id FROM orders WHERE o_orderstatus <> 'F'")
+def for_delete(spark, sf):
+    return mutation.delete_where(table_quads(spark, sf, "orders", ["o_orderstatus"]), F.col("o_lex") == "F").select("s_id")
+
+
+@query("""SELECT CASE WHEN n_regionkey = 1 THEN 'urn:moved' ELSE 'urn:x-table:nation' END || '#' || n_nationkey AS s_id, CASE WHEN n_regionkey = 1 THEN 'urn:moved' ELSE 'urn:x-table:nation' END AS graph_iri FROM nation""")
+def move_nodes(spark, sf):
+    q = table_quads(spark, sf, "nation", ["n_regionkey"])
+    target = q.filter(F.col("o_id") == f"{T}region#1").select(F.col("s_id").alias("node"), F.lit("urn:moved").alias("to_graph"))
+    return mutation.move_nodes(q, target).select("s_id", "graph_iri")
+
+
+@query("SELECT 'urn:x-table:nation#' || n_nationkey AS s_id, 'urn:x-table:' || CASE WHEN n_regionkey = 1 THEN 'america' ELSE 'region#' || n_regionkey END AS o_id FROM nation")
+def rename_node(spark, sf):
+    return mutation.rename_node(table_quads(spark, sf, "nation", ["n_regionkey"]), f"{T}region#1", f"{T}america").select("s_id", "o_id")
+
+
+@query("SELECT count(*) AS added FROM (SELECT o_orderkey FROM orders UNION SELECT o_orderkey + 10000000 FROM orders WHERE o_orderkey % 100 = 1)")
+def add_statements(spark, sf):
+    """Statements that exist already do not count again."""
+    old, new = _versions(spark, sf)
+    return mutation.add(old, old.unionByName(new.filter(F.regexp_extract("s_id", "#([0-9]+)$", 1).cast("long") > 10000000))).agg(F.count(F.lit(1)).alias("added"))
+
+
+@query("SELECT 'urn:group:' || md5('r' || n_regionkey) AS graph_iri, count(*) AS statements FROM nation GROUP BY n_regionkey")
+def graph_split(spark, sf):
+    """Nations split into a graph for each region."""
+    q = mutation.statements(_places(spark, sf).filter("a LIKE 'n%'").select(F.col("a").alias("s"), F.lit("in").alias("p"), F.col("b").alias("o")), "g")
+    groups = q.select(F.col("s_id").alias("node"), F.col("o_id").alias("root"))
+    return mutation.split_by_group(q, groups)[0].groupBy("graph_iri").agg(F.count(F.lit(1)).alias("statements"))
+
+
+@query("SELECT * FROM (VALUES ('r1', 'x'), ('r2', 'a')) t(root, node)")
+def boundary_nodes(spark, sf):
+    edges = spark.createDataFrame([("r1", "a"), ("a", "x"), ("r2", "a"), ("r2", "c")], "a string, b string")
+    groups = spark.createDataFrame([("r1", "r1"), ("a", "r1"), ("r2", "r2"), ("c", "r2")], "node string, root string")
+    return graphs.boundary(edges, groups)
+
+
+@query("SELECT * FROM (VALUES ('p', 'q'), ('pi', 'qi')) t(a, b)")
+def inverse_property_sync(spark, sf):
+    inv, below = spark.createDataFrame([("p", "pi"), ("q", "qi")], "a string, b string"), spark.createDataFrame([("p", "q")], "a string, b string")
+    return graphs.inverse_properties(inv, below)[1]
+
+
+@query(f"WITH RECURSIVE {PLACES}, r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS cls, list_sort(list(b)) AS supersedes FROM (SELECT a, b FROM r WHERE a NOT LIKE 'c%' UNION SELECT a, a FROM e WHERE a NOT LIKE 'c%' UNION SELECT b, b FROM e) GROUP BY a")
+def main_class_supersedure(spark, sf):
+    e = _places(spark, sf).filter("a NOT LIKE 'c%'").union(_places(spark, sf).filter("a LIKE 'c%'").select("b", "b").distinct()).filter("a <> b")
+    main = e.select(F.col("a").alias("cls")).union(e.select("b")).distinct()
+    return vocabulary.supersedes(main, graphs.closure(e))
+
+
+@query(f"WITH RECURSIVE {PLACES}, r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, b AS root FROM r WHERE b LIKE 'r%'")
+def top_property(spark, sf):
+    return graphs.roots(_places(spark, sf))
+
+
+@query("SELECT ds_id, kind, name, \"commit\" FROM (VALUES ('d', 'branch', 'master', 'c1'), ('d', 'leaf', 'c2', 'c2'), ('d', 'branch', 'dev', 'c3')) t(ds_id, kind, name, \"commit\")")
+def sync_refs(spark, sf):
+    refs = "ds_id string, kind string, name string, commit string"
+    return sets.sync_refs(spark.createDataFrame([("d", "branch", "master", "c1")], refs), spark.createDataFrame([("d", "branch", "master", "c2"), ("d", "branch", "dev", "c3")], refs))
+
+
+@query("SELECT 'urn:x-table:' || t AS graph_iri, c AS commits, c IS NULL AS deleted FROM (VALUES ('orders', ['c1', 'c2']), ('customer', NULL)) v(t, c)")
+def align_history(spark, sf):
+    to = spark.createDataFrame([(f"{T}orders",), (f"{T}customer",)], "graph_iri string")
+    return sets.align_history(to, spark.createDataFrame([(f"{T}orders", ["c1", "c2"])], "graph_iri string, commits array<string>"))
+
+
+@query("SELECT 'urn:x-table:orders' AS graph_iri, 1::BIGINT AS hashes FROM (SELECT 1)")
+def current_revision_hash(spark, sf):
+    """The hash of a graph does not depend on order or repetition."""
+    q = table_quads(spark, sf, "orders", ["o_orderstatus"])
+    both = stats.graph_hash(q).union(stats.graph_hash(q.union(q).repartition(5, "o_lex")))
+    return both.groupBy("graph_iri").agg(F.countDistinct("ng_rev").alias("hashes"))
+
+
+@query("SELECT start::TIMESTAMP AS start, event_type, n FROM (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL)")
+def windowed_event_counts(spark, sf):
+    """Daily windows over the events, as a batch; the same function takes a stream."""
+    from quadlake.streaming import changes
+
+    e = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return changes.windowed_counts(e, "ts", "event_type").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query(f"WITH {DOC} SELECT doc_id FROM d WHERE len(list_filter(w, lambda x: starts_with(x, 'idio'))) > 0 OR list_contains(w, 'clown')")
+def search_prefix(spark, sf):
+    return _docs(spark, sf).filter(search.parse("idio* clown", "text")).select("doc_id")
+
+
+@query(f"WITH {DOC} SELECT doc_id, list_contains(w, 'scum')::INT + list_contains(w, 'clown')::INT AS hits FROM d WHERE list_has_any(w, ['scum', 'clown'])")
+def search_score(spark, sf):
+    """Documents with a score above 0 and how many of the words they have; scores themselves are our own."""
+    hit = lambda w: search.term("text", w).cast("int")
+    return search.score("text", ["scum", "clown"], _docs(spark, sf)).filter("score > 0").select("doc_id", (hit("scum") + hit("clown")).alias("hits"))
