@@ -370,9 +370,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     order = df.sparkSession.sparkContext.broadcast(Order(docs, width, rows.agg(F.sum("n")).first()[0] or 0))
 
     runs = docs.filter("id IS NOT NULL").select("text").mapInArrow(_postings(width, t, order), "token long, node long").repartition("token").sortWithinPartitions("token", "node")
-    links = stash(runs.mapInArrow(_runs, "a long, b long").distinct(), "candidates")
-    blocks = stash(components(links), "blocks")
-    unstash(links)
+    blocks = stash(components(runs.mapInArrow(_runs, "a long, b long")), "blocks")
 
     classes = stash(rows.filter("id IS NOT NULL AND n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
     inside = classes.join(blocks.select(F.col("node").alias("d1"), F.col("component").alias("block")), "d1").select("rep", "block", "n")
