@@ -1,8 +1,9 @@
-"""Benchmark decontamination by spaced-seed hashing."""
+"""Benchmark decontamination by seed hashing: seeds so short that no leak is without one, verified on their diagonals."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -12,72 +13,98 @@ from pyspark.sql import functions as F
 from quadlake.llm._common import put, read
 from quadlake.llm._tokens import Words, batches_of, windows, words
 
-#: Which words of a window a seed hashes; a substituted word at a 0 does not touch the seed.
-MASKS = [[int(c) for c in m] for m in ("111010011", "110011101", "101101101")]
+#: Words of the longest seed; a shorter one is as whole, with more places to verify.
+SPAN = 9
 #: Bytes of test texts that one pass over the training rows holds; more tests take more passes.
 BLOCK_BYTES = 8 << 20
+#: Seed hits that are held at once.
+HITS_HELD = 1 << 20
 LUT_BITS = 20
 HITS = "array<struct<item:long,matched:int,words:int,at:int>>"
 
 
+def needed(n: int, min_matched: int) -> int:
+    """Equal words that a test text of n words asks for."""
+    return min(min_matched, n)
+
+
+def span_of(n: int, min_matched: int, identity: Fraction) -> int:
+    """Words of the longest seed that no leak of a test text of n words can miss.
+
+    A run of m equal words with x others among them has x + 1 gaps at most, so one stretch of it holds m / (x + 1) equal words.
+    """
+    num, den = identity.as_integer_ratio()
+    span = SPAN
+    for m in range(needed(n, min_matched), n + 1):
+        others = min(n - m, m * (den - num) // num if num else n - m)
+        span = min(span, -(-m // (others + 1)))
+    return max(1, span)
+
+
 class Index:
     """Seeds of a block of test texts, with the words' hashes for verification."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], min_matched: int, min_identity: float):
         w = words(pa.array([t for _, t in items], pa.large_string()), "symbol")
         self.ids = [i for i, _ in items]
         self.words = [w.hashes[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-        lengths = {len(x) for x in self.words}
-        # Texts shorter than a mask are looked up whole.
-        self.masks = [*MASKS, *([1] * n for n in sorted(lengths) if 5 <= n < len(MASKS[0]))]
+        self.min_matched, self.identity = min_matched, Fraction(str(min_identity))
+        spans = {n: span_of(n, min_matched, self.identity) for n in {len(x) for x in self.words} if n >= 5}
         self.seeds = []
-        for mask in self.masks:
-            rows = [(h, k, i) for k, x in enumerate(self.words) if len(mask) in (len(MASKS[0]), len(x)) for i, h in enumerate(windows(x, mask).tolist())]
-            rows.sort()
+        for span in sorted(set(spans.values())):
+            mine = [(k, windows(x, [1] * span)) for k, x in enumerate(self.words) if spans.get(len(x)) == span]
+            keys = np.concatenate([h for _, h in mine])
+            order = np.argsort(keys, kind="stable")
+            item = np.concatenate([np.full(len(h), k) for k, h in mine])[order]
+            place = np.concatenate([np.arange(len(h)) for _, h in mine])[order]
             table = np.zeros(1 << LUT_BITS, bool)
-            keys = np.array([h for h, _, _ in rows], np.uint64)
             table[keys & np.uint64((1 << LUT_BITS) - 1)] = True
-            self.seeds.append((keys, [(k, i) for _, k, i in rows], table))
+            self.seeds.append((span, keys[order], item, place, table))
 
-    def search(self, w: Words, min_matched: int, min_identity: float) -> dict[int, list[dict]]:
+    def search(self, w: Words) -> dict[int, list[dict]]:
         """By text: the best verified overlap with each test text."""
         counts = np.diff(w.first)
         doc = np.repeat(np.arange(len(counts)), counts)
         found: dict[int, dict[int, dict]] = {}
-        seen: set[tuple[int, int, int]] = set()
-        for mask, (keys, places, table) in zip(self.masks, self.seeds, strict=True):
-            h = windows(w.hashes, mask)
-            if not len(h) or not len(keys):
-                continue
+        for span, keys, item, place, table in self.seeds:
+            h = windows(w.hashes, [1] * span)
             near = np.flatnonzero(table[h & np.uint64((1 << LUT_BITS) - 1)])
-            near = near[doc[near] == doc[near + len(mask) - 1]]
+            near = near[doc[near] == doc[near + span - 1]]
             lo, hi = np.searchsorted(keys, h[near], "left"), np.searchsorted(keys, h[near], "right")
-            for at, a, b in zip(near[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                d = int(doc[at])
-                for k, i in places[a:b]:
-                    if (d, k, at - i) in seen:
-                        continue
-                    seen.add((d, k, at - i))
-                    if hit := self.verify(w, d, k, at - i, min_matched, min_identity):
+            near, lo, n = near[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            ends = np.cumsum(n)
+            a = 0
+            while a < len(near):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + HITS_HELD, "right")))
+                at, m = np.repeat(near[a:b], n[a:b]), n[a:b]
+                row = np.arange(len(at)) + np.repeat(lo[a:b] - (np.cumsum(m) - m), m)
+                for d, k, start in np.unique(np.stack([doc[at], item[row], at - place[row]], 1), axis=0).tolist():
+                    if hit := self.verify(w, d, k, start):
                         old = found.setdefault(d, {}).get(k)
                         if not old or (hit["matched"], -hit["at"]) > (old["matched"], -old["at"]):
                             found[d][k] = hit
+                a = b
         return {d: [x for _, x in sorted(hits.items(), key=lambda y: self.ids[y[0]])] for d, hits in found.items()}
 
-    def verify(self, w: Words, d: int, k: int, start: int, min_matched: int, min_identity: float) -> dict | None:
-        """The run of the diagonal that scores most with 1 for a match and what min_identity balances for a mismatch."""
+    def verify(self, w: Words, d: int, k: int, start: int) -> dict | None:
+        """Of the diagonal's runs with enough of their words equal, the one with most equal words, the first of several."""
         test = self.words[k]
         first, last = int(w.first[d]), int(w.first[d + 1])
         a, b = max(0, first - start), min(len(test), last - start)
-        same = test[a:b] == w.hashes[start + a : start + b]
-        run = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -min_identity / (1 - min_identity)))])
-        rise = run - np.minimum.accumulate(run)
-        end = int(rise.argmax())
-        begin = int(run[: end + 1].argmin())
-        matched = int(same[begin:end].sum())
-        if matched < min(min_matched, len(test)):
+        same = np.flatnonzero(test[a:b] == w.hashes[start + a : start + b])
+        least = needed(len(test), self.min_matched)
+        if len(same) < least:
+            return None
+        # A run from equal word i to equal word j is good if ends[j] >= begins[i].
+        num, den = self.identity.as_integer_ratio()
+        at = np.arange(len(same))
+        begins, ends = den * at - num * same, den * (at + 1) - num * (same + 1)
+        best = np.maximum.accumulate(ends[::-1])[::-1]
+        matched = np.searchsorted(-best, -begins, "right") - at
+        i = int(matched.argmax())
+        if matched[i] < least:
             return None
-        return {"item": self.ids[k], "matched": matched, "words": len(test), "at": start + a + begin - first}
+        return {"item": self.ids[k], "matched": int(matched[i]), "words": len(test), "at": start + a + int(same[i]) - first}
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -98,8 +125,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", i
     word `at` and after, on one diagonal, in a run with at least `min_identity` of its words equal.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, without regard to case (A-Z). A test text leaks with
-    `min_matched` equal words or, if shorter, all of its words; test texts below five words are left out. Training rows are
-    read once for each block of test texts and never shuffled, so hot rows or passages cost no more than others.
+    `min_matched` equal words or, if shorter, all of its words; test texts below five words are left out. Every such leak is
+    found, wherever the other words stand. Training rows are read once for each block of test texts and never shuffled, so hot rows or passages cost no more than others.
 
     Defined results: null and empty texts have no leaks; repeated rows get the same leaks; repeated test items count once
     for each row of theirs; without test texts nobody leaks; an input column named leaks gives way.
@@ -107,7 +134,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", i
     out = put(df, leaks=F.array().cast(HITS))
     sc = df.sparkSession.sparkContext
     for block in _blocks(benchmark, item_col, item_text_col):
-        index = sc.broadcast(Index(block))
+        index = sc.broadcast(Index(block, min_matched, min_identity))
 
         def look(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             kind = pa.list_(pa.struct([("item", pa.int64()), ("matched", pa.int32()), ("words", pa.int32()), ("at", pa.int32())]))
@@ -115,7 +142,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", i
                 i, j = batch.schema.get_field_index(text_col), batch.schema.get_field_index("leaks")
                 for a, b in batches_of(batch.column(i)):
                     part = batch.slice(a, b - a)
-                    hits = index.value.search(words(part.column(i), "symbol"), min_matched, min_identity)
+                    hits = index.value.search(words(part.column(i), "symbol"))
                     old = part.column(j).to_pylist()
                     yield part.set_column(j, "leaks", pa.array([(old[d] or []) + hits.get(d, []) for d in range(b - a)], kind))
 

@@ -67,6 +67,26 @@ def test_leaks_against_brute_force(spark):
     assert all(0 in got[k] for k in (3, 4)) and sum(bool(v) for v in got.values()) >= 9
 
 
+def test_every_leak_is_found(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    masks = ["1" * 11 + "0111", "1" * 5 + "0" + "1" * 5 + "011101100", "1110" * 4, "110" * 3 + "1" * 6, "0111" * 5 + "0" * 9, "1101" * 6]
+    items = [prose(rng, vocabulary, len(m)) for m in masks] + [prose(rng, vocabulary, rng.randrange(15, 26)) for _ in range(40)]
+    texts = []
+    for k, item in enumerate(items):
+        keep = masks[k] if k < len(masks) else [int(rng.random() > rng.choice((0.1, 0.2, 0.25))) for _ in item.split()]
+        t = [x if int(c) else "zzz" for x, c in zip(item.split(), keep, strict=True)]
+        texts.append(f"{prose(rng, vocabulary, 9)} {' '.join(t)} {prose(rng, vocabulary, 9)}")
+    got = leaks(spark, texts, items)
+    assert {(k, i) for k in got for i in got[k]} == {(k, k) for k, t in enumerate(texts) if brute_leak(t, items[k])}
+    assert [got[k].get(k) for k in (0, 1, 2)] == [14, 15, 12] and sum(k in got[k] for k in range(6, 46)) > 15
+
+
+def test_leaks_of_repeated_words(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "HITS_HELD", 50)
+    assert leaks(spark, ["a " * 300, "a " * 11], ["a " * 40]) == {0: {0: 40}, 1: {}}
+
+
 def test_leaks_blocks_and_clashes(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 10)
     items = [" ".join(f"i{k}x{j}" for j in range(15)) for k in range(3)]
