@@ -107,16 +107,21 @@ def disclosures(found: DataFrame, texts: DataFrame, *, min_bits: float, min_disc
     rows = stash(rows.filter(F.size("entities") > 0), "entities")
     n = max(1, found.count())
     pairs = rows.select("__ql_key", "w", F.explode("entities").alias("e"))
-    known = pairs.groupBy("e").agg(F.sum("w").alias("ce"), F.count(F.lit(1)).alias("texts")).filter((F.col("texts") >= min_texts) & (F.log2(F.lit(float(n)) / F.col("ce")) >= min_bits))
-    guarded = stash(pairs.join(known.select("e", "ce"), "e"), "guarded")
+    known = pairs.groupBy("e").agg(F.sum("w").alias("ce"), F.count(F.lit(1)).alias("texts"), F.min("__ql_key").alias("lo"), F.max("__ql_key").alias("hi")).filter(F.log2(F.lit(float(n)) / F.col("ce")) >= min_bits)
+    # Entities of the same one or two texts have the same counts with every term, so one name stands for them all.
+    name = F.when(F.col("texts") <= 2, F.concat("lo", "hi")).otherwise(F.col("e"))
+    guarded = stash(pairs.join(known.select("e", "ce", name.alias("name")), "e").select("__ql_key", "w", F.col("name").alias("e"), "ce").distinct(), "guarded")
     keys = stash(guarded.select("__ql_key").distinct(), "guarded-texts")
     # The few texts at stake, once each; the planner knows the size of the stashed keys and broadcasts them only below its limit.
     at_stake = stash(texts.join(keys, "__ql_key", "left_semi").groupBy("__ql_key").agg(F.first("__ql_t").alias("__ql_t")), "at-stake")
     term = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__ql_t"), F.lit(r"\p{L}{2,}"), F.lit(0)))).alias("term")
-    together = at_stake.select("__ql_key", term).join(guarded, "__ql_key").groupBy("term", "e").agg(F.sum("w").alias("cte"), F.count(F.lit(1)).alias("texts"), F.first("ce").alias("ce")).filter(F.col("texts") >= min_texts)
+    together = at_stake.select("__ql_key", term).join(guarded, "__ql_key").groupBy("term", "e").agg(F.sum("w").alias("cte"), F.count(F.lit(1)).alias("texts"), F.first("ce").alias("ce"))
     together = stash(together, "together")
     ct = term_counts(texts, F.col("__ql_t"))
+    # Of few texts P(e | t) is the posterior mean with one row of P(e) before, so that a single meeting is no certainty.
     pmi = F.log2(F.lit(float(n)) * F.col("cte") / (F.greatest("n", "cte") * F.col("ce")))
+    few = F.log2((F.lit(float(n)) * F.col("cte") / F.col("ce") + 1.0) / (F.greatest("n", "cte") + 1.0))
+    pmi = F.when(F.col("texts") >= min_texts, pmi).otherwise(few)
     telling = together.join(ct, "term").filter((pmi >= min_bits) & (pmi >= min_disclosure * F.log2(F.lit(float(n)) / F.col("ce")))).select("term", "e")
     hits = at_stake.select("__ql_key", term).join(guarded.select("__ql_key", "e"), "__ql_key").join(telling, ["term", "e"]).groupBy("__ql_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     return at_stake.join(hits, "__ql_key").mapInArrow(_locate_batches, "__ql_key string, hidden array<struct<kind:string,start:int,end:int>>")
@@ -143,7 +148,8 @@ def find_personal_data(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """id, base and hidden: spans (kind, start, end in code points, end exclusive) of identifiers and of disclosing terms.
 
     A term is hidden in a text if, for an entity of that text, it gives away `min_bits` bits and `min_disclosure` of the
-    entity's information, and stands with it in `min_texts` different texts; counts weigh repeated texts by their rows.
+    entity's information. Where they stand together in fewer than `min_texts` different texts, the estimate is smoothed by one
+    row of the entity's own share; counts weigh repeated texts by their rows.
     Texts without an identifier have no hidden terms.
 
     Defined results: null is the empty text, with no spans; repeated rows are reported each; very long runs of letters or

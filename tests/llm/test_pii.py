@@ -39,6 +39,16 @@ def test_terms_that_disclose(docs):
     assert sum(bool(r["hidden"]) for r in rows.values()) == 4
 
 
+def test_terms_of_entities_in_one_or_two_texts(docs):
+    common = [(i, f"plain words number filler{i % 50} and more", None, None) for i in range(400)]
+    told = [(1000, "Zarquon writes from zq@x.org or +44 20 7946 0958 and plain words", None, None)]
+    told += [(1001 + i, f"plain words and Quixxle at qx@x.org since {'april' if i else 'march'}", None, None) for i in range(2)]
+    rows = {r["doc_id"]: r for r in pii.find_personal_data(docs([*common, *told])).collect()}
+    hidden = {i: {t[s["start"] : s["end"]].lower() for s in rows[i]["hidden"]} for i, t, _, _ in told}
+    assert {"zarquon", "writes"} <= hidden[1000] and all("quixxle" in hidden[i] for i in (1001, 1002))
+    assert not any(h & {"plain", "words", "and", "zq", "org"} for h in hidden.values()) and not any(rows[i]["hidden"] for i in range(400))
+
+
 def test_sanitise_and_edges(docs):
     d = docs([(1, "mail a@b.co now", "x", "y"), (2, None, None, None), (3, "", None, None)])
     assert {r["doc_id"]: r["text"] for r in pii.sanitise(d).collect()} == {1: "mail [EMAIL] now", 2: None, 3: ""}
