@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quadlake.llm import decontam, lang_id, quality, toxicity
+from quadlake.llm import lang_id, quality, toxicity
 from quadlake.llm._tokens import words
 
 
@@ -24,78 +24,6 @@ def test_words_are_byte_words():
     assert w.hashes[0] == words(pa.array(["a"])).hashes[0] and len(set(w.hashes.tolist())) == len({w.text(i) for i in range(len(w.hashes))})
 
 
-# decontamination
-
-
-def leaks(spark, texts, items, **options):
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    return {r["doc_id"]: {x["item"]: x["matched"] for x in r["leaks"]} for r in decontam.find_leaks(d, b, **options).collect()}
-
-
-def brute_leak(text, item, min_matched=12, identity=0.75):
-    a = [x for x in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.lower()).split()]
-    b = [x for x in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in item.lower()).split()]
-    best = 0
-    for shift in range(-len(b) + 1, len(a)):
-        same = [0 <= shift + i < len(a) and a[shift + i] == b[i] for i in range(len(b))]
-        for i in range(len(b)):
-            for j in range(i + 1, len(b) + 1):
-                if sum(same[i:j]) >= identity * (j - i):
-                    best = max(best, sum(same[i:j]))
-    return best >= min(min_matched, len(b))
-
-
-def test_leaks_against_brute_force(spark):
-    rng = random.Random(3)
-    vocabulary = [f"w{i}" for i in range(300)]
-    items = [prose(rng, vocabulary, n) for n in (15, 20, 30, 6)] + [None, "", "one two"]
-    texts = [None, "", prose(rng, vocabulary, 300)]
-    for item in items[:4]:
-        for wrong in range(0, 7, 2):
-            t = item.split()
-            for i in rng.sample(range(len(t)), min(wrong, len(t) - 1)):
-                t[i] = "zzz"
-            texts.append(f"{prose(rng, vocabulary, 20)}, {' '.join(t).upper()}! {prose(rng, vocabulary, 20)}")
-    got = leaks(spark, texts, items)
-    for k, t in enumerate(texts):
-        for i, item in enumerate(items[:4]):
-            want = brute_leak(t or "", item)
-            if (i in got[k]) != want:
-                assert want, "a clean text is never told to leak"
-                assert "ZZZ" in t  # substitutions so many that no seed survives
-    assert all(0 in got[k] for k in (3, 4)) and sum(bool(v) for v in got.values()) >= 9
-
-
-def test_every_leak_is_found(spark):
-    rng = random.Random(11)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    masks = ["1" * 11 + "0111", "1" * 5 + "0" + "1" * 5 + "011101100", "1110" * 4, "110" * 3 + "1" * 6, "0111" * 5 + "0" * 9, "1101" * 6]
-    items = [prose(rng, vocabulary, len(m)) for m in masks] + [prose(rng, vocabulary, rng.randrange(15, 26)) for _ in range(40)]
-    texts = []
-    for k, item in enumerate(items):
-        keep = masks[k] if k < len(masks) else [int(rng.random() > rng.choice((0.1, 0.2, 0.25))) for _ in item.split()]
-        t = [x if int(c) else "zzz" for x, c in zip(item.split(), keep, strict=True)]
-        texts.append(f"{prose(rng, vocabulary, 9)} {' '.join(t)} {prose(rng, vocabulary, 9)}")
-    got = leaks(spark, texts, items)
-    assert {(k, i) for k in got for i in got[k]} == {(k, k) for k, t in enumerate(texts) if brute_leak(t, items[k])}
-    assert [got[k].get(k) for k in (0, 1, 2)] == [14, 15, 12] and sum(k in got[k] for k in range(6, 46)) > 15
-
-
-def test_leaks_of_repeated_words(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "HITS_HELD", 50)
-    assert leaks(spark, ["a " * 300, "a " * 11], ["a " * 40]) == {0: {0: 40}, 1: {}}
-
-
-def test_leaks_blocks_and_clashes(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 10)
-    items = [" ".join(f"i{k}x{j}" for j in range(15)) for k in range(3)]
-    assert leaks(spark, [items[2] + " " + items[0], "x"], items) == {0: {0: 15, 2: 15}, 1: {}}
-    assert leaks(spark, ["x"], []) == {0: {}}
-    d = spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, Leaks string")
-    assert [c.lower() for c in decontam.find_leaks(d, spark.createDataFrame([], "item_id long, text string")).columns] == ["doc_id", "text", "leaks"]
-
-
 # language
 
 
