@@ -2,11 +2,13 @@
 
 A text likelihood (multinomial over hashed byte trigrams) is multiplied with the likelihoods of the declared markup
 language and of the address suffix and with a host prior that is smoothed by the prior of the host's domain, and that by
-the global one. All but the trigram model are grouped aggregates over every row.
+the global one. All but the trigram model are grouped aggregates over every row. One more class, whose trigrams are all equally
+likely, stands for text in none of the languages.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,10 @@ from quadlake.llm._common import put, read, stash
 from quadlake.llm._tokens import batches_of
 
 BUCKETS = 1 << 15
+#: The class of texts in none of the languages.
+OUTSIDE = "und"
+#: Languages of a model, whose table all tasks hold (128 KB for each).
+MOST_LANGUAGES = 1000
 #: Bytes as the model sees them: lower case, and one blank for everything in ASCII that is no letter.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint32)
 
@@ -37,37 +43,43 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[use].astype(np.int64), doc[:-2][use], letters
 
 
-def train(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 20000, min_rows: int = 5) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities by bucket, from `sample` labelled rows or so, picked by a hash of the id.
-    Languages with fewer than `min_rows` of these rows are left out."""
-    labelled = df.filter(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    share = min(1.0, sample / max(1, labelled.count()))
-    picked = labelled.filter(F.pmod(F.xxhash64(F.lit(7), F.col(f"`{id_col}`")), F.lit(1 << 20)) < share * (1 << 20))
+def train(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 20000) -> tuple[list[str], np.ndarray]:
+    """Languages and their log-probabilities by bucket, OUTSIDE last.
+
+    Each of L languages has `sample` / L labelled rows or so, picked by a hash of the id, and all of its rows if they are fewer:
+    whether a language is known does not depend on the others' rows. Rows without text, label or letters teach nothing. More than
+    MOST_LANGUAGES labels stop with an error.
+    """
+    labelled = df.select(F.col(f"`{text_col}`").cast("string").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("l"), F.col(f"`{id_col}`").alias("i"))
+    labelled = labelled.filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.col("l") != OUTSIDE))
+    sizes = stash(labelled.groupBy("l").agg(F.count(F.lit(1)).alias("rows")), "language-sizes")
+    found = sizes.count()
+    if found > MOST_LANGUAGES:
+        raise ValueError(f"{found} languages are more than a table of {MOST_LANGUAGES} holds")
+    each = max(1, sample // max(1, found))
+    picked = labelled.join(F.broadcast(sizes), "l").filter(F.pmod(F.xxhash64(F.lit(7), "i"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * each / F.col("rows"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        rows: dict[str, int] = {}
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for a, b in batches_of(batch.column(0)):
                 key, doc, _ = _grams(batch.column(0).slice(a, b - a))
                 for lang in set(langs[a:b]):
                     mine = langs[a:b] == lang
-                    rows[lang] = rows.get(lang, 0) + int(mine.sum())
                     sums[lang] = sums.get(lang, 0) + np.bincount(key[mine[doc]], minlength=BUCKETS)
         for lang, n in sums.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([-1, *at], pa.int32()), pa.array([rows[lang], *n[at]], pa.int64())], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    counts = picked.select(F.col(f"`{text_col}`").cast("string").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("l")).mapInArrow(count, "lang string, bucket int, n long")
-    # At most BUCKETS + 1 rows for each language.
+    counts = picked.select("t", "l").mapInArrow(count, "lang string, bucket int, n long")
+    # At most BUCKETS rows for each language.
     got = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    rows = {x: n for x, b, n in zip(got["lang"], got["bucket"], got["n"], strict=True) if b < 0}
-    langs = sorted(x for x, n in rows.items() if n >= min_rows) or sorted(rows) or ["und"]
+    langs = [*sorted(set(got["lang"])), OUTSIDE]
+    at = {x: i for i, x in enumerate(langs)}
     table = np.full((len(langs), BUCKETS), 0.5)
     for x, b, n in zip(got["lang"], got["bucket"], got["n"], strict=True):
-        if b >= 0 and x in langs:
-            table[langs.index(x), b] += n
+        table[at[x], b] += n
     return langs, np.log(table / table.sum(1, keepdims=True))
 
 
@@ -129,6 +141,8 @@ class Evidence:
 def fuse(scored: DataFrame, evidence: Evidence, *, wanted: list[str] | None = None, min_confidence: float = 0.5, kappa: float = 20.0) -> DataFrame:
     """scored with language, confidence and accepted; columns p, letters, declared, suffix, host and domain are used up.
 
+    A text without letters, or one that most likely is in none of the languages, has no language and is not accepted.
+
     Priors count the other rows of a host and its domain and `kappa` rows of the level above. The rows are joined to the
     evidence by key; tables that Spark knows to be small are broadcast, others are joined by shuffle, hot hosts split by AQE.
     """
@@ -157,7 +171,7 @@ def fuse(scored: DataFrame, evidence: Evidence, *, wanted: list[str] | None = No
     out = out.withColumn("__ql_ll", F.array(*like))
     out = out.withColumn("__ql_e", F.transform("__ql_ll", lambda x: F.exp(x - F.array_max("__ql_ll"))))
     best = (F.array_position("__ql_e", F.lit(1.0)) - 1).cast("int")
-    language = F.when(F.col("letters") > 0, F.array(*map(F.lit, langs))[F.greatest(best, F.lit(0))])
+    language = F.when(F.col("letters") > 0, F.nullif(F.array(*map(F.lit, langs))[F.greatest(best, F.lit(0))], F.lit(OUTSIDE)))
     confidence = F.when(F.col("letters") > 0, 1.0 / total(F.col("__ql_e"))).otherwise(0.0)
     out = put(out, language=language, confidence=confidence)
     accepted = F.col("language").isNotNull() & (F.col("confidence") >= min_confidence)
@@ -172,10 +186,65 @@ def evidence_columns(df: DataFrame, *, declared: Column, host: Column) -> DataFr
     return put(df, declared=primary(declared), suffix=suffix_of(host), host=F.lower(host.cast("string")), domain=domain_of(host))
 
 
-def page_text(html: Column) -> Column:
-    """What a reader sees, roughly: markup, scripts and styles go, entities become blanks."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[A-Za-z0-9#]{1,10};", " ")
-    return F.coalesce(bare, F.lit(""))
+ENTITY = re.compile(r"&[A-Za-z0-9#]{1,10};")
+HIDDEN = re.compile(r"<(script|style)\b", re.I)
+CLOSE = {"script": re.compile(r"</script\s*+>", re.I), "style": re.compile(r"</style\s*+>", re.I)}
+HTML = re.compile(r"<html\b", re.I)
+LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z_-]+)""", re.I)
+
+
+def page(html: str) -> tuple[str, str | None]:
+    """What a reader sees, roughly, and the language that the first html tag declares. Scripts, styles, comments, tags and entities
+    become blanks. A comment, script, style or tag that never ends hides nothing. Everything is read once: what is not found once is not
+    searched again."""
+    parts, at, declared, root, missing = [], 0, None, False, set()
+
+    def after(what: str, i: int) -> int:
+        """The end of the next `what` from i on, or 0."""
+        if what in missing:
+            return 0
+        if what in CLOSE:
+            m = CLOSE[what].search(html, i)
+            end = m.end() if m else 0
+        else:
+            j = html.find(what, i)
+            end = j + len(what) if j >= 0 else 0
+        if not end:
+            missing.add(what)
+        return end
+
+    while (i := html.find("<", at)) >= 0:
+        parts += [html[at:i], " "]
+        end = 0
+        if m := HIDDEN.match(html, i):
+            tag = after(">", i)
+            end = after(m[1].lower(), tag) if tag else 0
+        elif html.startswith("<!--", i):
+            end = after("-->", i + 4)
+        end = end or after(">", i)
+        if not end:  # no tag ends any more
+            at = i
+            break
+        if not root and HTML.match(html, i):
+            root = True
+            declared = m[1] if (m := LANG.search(html, i, end)) else None
+        at = end
+    parts.append(html[at:])
+    return ENTITY.sub(" ", "".join(parts)), declared
+
+
+def read_pages(df: DataFrame, *, html_col: str) -> DataFrame:
+    """df with columns text and declared in place of the page; null pages have the empty text."""
+    out = put(df, text=F.col(f"`{html_col}`").cast("string"), declared=F.lit(None).cast("string"))
+    out = out.drop(*[c for c in (html_col,) if c not in ("text", "declared")])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, j = batch.schema.get_field_index("text"), batch.schema.get_field_index("declared")
+            found = [page(x.as_py() or "") for x in batch.column(i)]
+            yield batch.set_column(i, "text", pa.array([t for t, _ in found], pa.string())).set_column(j, "declared", pa.array([x for _, x in found], pa.string()))
+
+    return out.mapInArrow(look, out.schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
@@ -183,9 +252,8 @@ def op7(spark, sf_dir: str) -> DataFrame:
     docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
     d = evidence_columns(docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", "source"), declared=F.lit(None).cast("string"), host=F.col("source")).drop("source")
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    lang = F.regexp_extract(F.coalesce("html", F.lit("")), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z_-]+)""", 1)
-    p = pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", page_text(F.col("html")).alias("text"), host.alias("h"), lang.alias("l"))
-    p = evidence_columns(p, declared=F.col("l"), host=F.col("h")).drop("h", "l")
+    p = read_pages(pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", "html", host.alias("h")), html_col="html")
+    p = evidence_columns(p, declared=F.col("declared"), host=F.col("h")).drop("h")
     model = train(docs)
     scored = stash(score(d.unionByName(p), model).drop("text"), "languages")
     return fuse(scored, Evidence(scored, model[0])).select("doc_id", "page_id", "language", "confidence", "accepted")

@@ -28,6 +28,8 @@ RUN = re.compile(r"[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
+#: Keys of texts that are looked up by broadcasting them.
+BROADCAST_KEYS = 500_000
 
 
 def luhn(digits: str) -> bool:
@@ -139,6 +141,8 @@ def _merged(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 def near(text: str, spans: list[tuple[str, int, int]], reach: int) -> dict[str, set[str]]:
     """By entity, the terms among the `reach` words before and after its mentions."""
+    if not spans:
+        return {}
     merged = _merged(spans)
     words = outside(tokens(text), merged)
     found: dict[str, set[str]] = {}
@@ -244,8 +248,10 @@ def find_personal_data(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = df.select(F.col(f"`{id_col}`").alias("__ql_id"), _key(text).alias("__ql_key"), text.alias("__ql_t"))
     found, terms = _study(rows, {"min_bits": min_bits, "max_left": max_left, "reach": reach})
-    # The few texts at stake, once each; the planner knows the size of the stashed terms and broadcasts them only below its limit.
-    at_stake = rows.join(terms, "__ql_key").groupBy("__ql_key").agg(F.first("__ql_t").alias("__ql_t"), F.first("terms").alias("terms"))
+    # The few texts at stake, once each. Their keys (16 bytes) are broadcast up to a count; more are joined by shuffle.
+    keys = stash(terms.select(F.unhex("__ql_key").alias("__ql_own")), "keys")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    at_stake = rows.join(keys, F.unhex("__ql_key") == F.col("__ql_own"), "left_semi").groupBy("__ql_key").agg(F.first("__ql_t").alias("__ql_t")).join(terms, "__ql_key")
     hidden = stash(at_stake.mapInArrow(_locate_batches, f"__ql_key string, hidden {SPANS}"), "hidden")
     more = F.concat("secrets", F.coalesce("hidden", F.array().cast(SPANS)))
     return found.join(hidden, "__ql_key", "left").select(F.col("__ql_id").alias(id_col), "base", more.alias("hidden"))
