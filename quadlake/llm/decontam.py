@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadlake.llm._common import put, read, stash
-from quadlake.llm._tokens import batches_of, mix, windows, words
+from quadlake.llm._tokens import batches_of, mix, words
 
 #: By the least number of equal words that a leak has: masks (1: the word counts) of which one hits every run with that many equal
 #: words where at most a quarter of the words differ, wherever they stand. The tests hold this against all patterns.
@@ -28,7 +28,7 @@ REACH = 63
 #: Hits whose first words are so near share the words around them.
 STRIDE = 256
 #: Bits of the filter that all tasks hold, as a power of two: so many for each seed, and at most (32 MB).
-BITS_A_SEED, MOST_BITS = 6, 28
+BITS_A_SEED, MOST_BITS = 8, 28
 #: Texts of which a task remembers that it has searched them.
 SEEN = 500_000
 LEAKS = "array<struct<item:long,matched:int,words:int,at:int>>"
@@ -47,13 +47,32 @@ def masks_for(least: int) -> list[tuple[str, np.uint64]]:
     return []
 
 
+#: Odd multipliers of a mask's words, by their place in the mask.
+_ODD = np.random.default_rng(20240307).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def seeds_of(hashes: np.ndarray, mask: str, number: np.uint64) -> np.ndarray:
-    return mix(windows(hashes, [int(c) for c in mask]) ^ number)
+    """A hash for each place of the mask, of the words where it is 1."""
+    n = len(hashes) - len(mask) + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, part = np.full(n, mix(np.array([number]))[0]), np.empty(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i, c in enumerate(mask):
+            if c == "1":
+                np.multiply(hashes[i : i + n], _ODD[i], out=part)
+                out += part
+        np.right_shift(out, np.uint64(32), out=part)
+        out ^= part
+        out *= _ODD[-1]
+        np.right_shift(out, np.uint64(29), out=part)
+        out ^= part
+    return out
 
 
 def whole(hashes: np.ndarray) -> np.ndarray:
     """The seed of a text below five words."""
-    return mix(windows(hashes, [1] * len(hashes)) ^ np.uint64(len(hashes)))
+    return seeds_of(hashes, "1" * len(hashes), np.uint64(len(hashes)))
 
 
 def _test_rows(min_matched: int, identity: Fraction):
@@ -91,12 +110,14 @@ class Filter:
         self.table = np.zeros(1 << (self.bits - 6), np.uint64)
         self.table[np.asarray(got.column("at"))] = np.asarray(got.column("w")).view(np.uint64)
 
+        self.table = self.table.view(np.uint8)  # little-endian: bit k of the slots is bit k % 8 of byte k // 8
+
     def _set(self, slots: np.ndarray) -> np.ndarray:
-        return (self.table[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
+        return (self.table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
 
     def passing(self, seeds: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self._set(seeds & np.uint64((1 << self.bits) - 1)))
-        return at[self._set(seeds[at] >> np.uint64(64 - self.bits))]
+        at = np.flatnonzero(self._set((seeds & np.uint64((1 << self.bits) - 1)).view(np.int64)))
+        return at[self._set((seeds[at] >> np.uint64(64 - self.bits)).view(np.int64)) == 1]
 
 
 def _hits(masks: list[tuple[str, np.uint64]], shared):
