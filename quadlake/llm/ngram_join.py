@@ -8,7 +8,8 @@
    point and a box bounds the overlap with every set in the box; pairs that survive are verified on the sets themselves. Pairs
    that are connected already are skipped.
 4. Blocks over a limit are cut into chunks that share some of their members; afterwards all members outside the block's
-   largest component are searched in every chunk.
+   largest component are searched in every chunk. Where these are many, the block hangs together by chains of shared passages rather
+   than by likeness: its members then meet by each shared shingle instead, and sets are compared only with those that hold it.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from quadlake.llm._tokens import batches_of, mix, windows, words
 
 #: Groups that shingles are hashed into, and the fan-out of the tree.
 GROUPS, FANOUT = 256, 16
-#: Shingles of a chunk, and members that all chunks of a block share.
-CHUNK_WEIGHT, HUBS = 400_000, 32
+#: Shingles and sets of a chunk, and members that all chunks of a block share.
+CHUNK_WEIGHT, CHUNK_ROWS, HUBS = 400_000, 512, 32
+#: Members outside the largest component that are searched together, and so many times more that are searched in all chunks.
+ASKED, MOST_PARTS = 1000, 8
 #: What all tasks are told of frequencies: a bit for each of 2**SLOTS slots of repeated shingles, and the counts of the FREQUENT
 #: most frequent ones. Beyond these bounds the order is coarser and more candidates need verification; results are the same.
 SLOTS, FREQUENT = 28, 1 << 20
@@ -68,13 +71,13 @@ def _sets_of(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch
 
 
 def _survey(width: int):
-    """id, n, d1, d2 of each document."""
+    """id, h, n, d1, d2 of each document."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets_of(batch, width):
                 marks = [digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], names=["id", "n", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], names=["id", "h", "n", "d1", "d2"])
 
     return look
 
@@ -194,8 +197,13 @@ class Order:
         return out
 
 
-def _postings(width: int, t: float, order):
-    """token, node for the first shingles of each class; a task sends a class once."""
+def _postings(width: int, t: float, order, local: bool):
+    """key, node, lead for the first shingles of each class; a task sends a class once.
+
+    Rows without a lead are shingles (key) and their holders (node). With `local`, a task already links the holders it knows to the
+    first of them, which alone goes on as a holder; links have a node and its lead, and the node for a key. However many
+    texts hold a shingle, only a row from each run of a task meets under it.
+    """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = order.value.level
@@ -205,7 +213,17 @@ def _postings(width: int, t: float, order):
         def out() -> pa.RecordBatch:
             node = np.repeat(np.array(owners, np.int64), [len(h) for h in held]) if held else np.zeros(0, np.int64)
             token = np.concatenate(held).view(np.int64) if held else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(node)], names=["token", "node"])
+            link = np.zeros((0, 2), np.int64)
+            if local and len(token):
+                by = np.lexsort((node, token))
+                token, node = token[by], node[by]
+                first = np.concatenate([[True], token[1:] != token[:-1]])
+                leader = node[first][np.cumsum(first) - 1]
+                link = np.stack([node, leader], 1)[node != leader]
+                link = np.unique(link, axis=0) if len(link) else link
+                token, node = token[first], node[first]
+            lead = pa.concat_arrays([pa.nulls(len(token), pa.int64()), pa.array(link[:, 1])])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([token, link[:, 0]])), pa.array(np.concatenate([node, link[:, 0]])), lead], names=["key", "node", "lead"])
 
         for batch in batches:
             for _, sets in _sets_of(batch, width):
@@ -227,21 +245,26 @@ def _postings(width: int, t: float, order):
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token and node: a link from each further node of a token to the token's first node."""
+    """From rows sorted by key and node: the links among them, and a link from each further holder of a shingle to its first."""
     last_token = last_node = None
     for batch in batches:
-        token, node = (np.asarray(batch.column(c)) for c in ("token", "node"))
-        if not len(token):
-            continue
-        start = np.ones(len(token), bool)
-        start[1:] = token[1:] != token[:-1]
-        first = np.flatnonzero(start)
-        leader = node[first].copy()
-        if last_token is not None and token[0] == last_token:
-            leader[0] = last_node
-        leaders = leader[np.cumsum(start) - 1]
-        last_token, last_node = token[-1], leaders[-1]
-        link = np.unique(np.stack([node, leaders], 1)[node != leaders], axis=0)
+        key, node = (np.asarray(batch.column(c)) for c in ("key", "node"))
+        holder = np.asarray(batch.column("lead").is_null())
+        links = [np.stack([node[~holder], np.asarray(batch.column("lead").drop_null(), np.int64)], 1)]
+        token, node = key[holder], node[holder]
+        if len(token):
+            start = np.ones(len(token), bool)
+            start[1:] = token[1:] != token[:-1]
+            first = np.flatnonzero(start)
+            leader = node[first].copy()
+            if last_token is not None and token[0] == last_token:
+                leader[0] = last_node
+            leaders = leader[np.cumsum(start) - 1]
+            last_token, last_node = token[-1], leaders[-1]
+            links.append(np.stack([node, leaders], 1)[node != leaders])
+        link = np.concatenate(links)
+        if len(link):
+            link = np.unique(link, axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(link[:, 0]), pa.array(link[:, 1])], names=["a", "b"])
 
 
@@ -312,32 +335,30 @@ def join_block(sets: list[np.ndarray], queries: list[int], members: list[int], g
 
 
 def _join_chunks(width: int, t: float):
-    """From rows sorted by key: a link from each set to the first of its component. Columns key, rep, role, known, text."""
+    """From rows sorted by key: a link from each set to the first of its component. Columns key, node, role, known, text; a row whose
+    text has another set than the node's stems from a repeated id and is left out."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            known: dict[int, int] = {}  # the same document may be here as member and as query
-            keep = [known.setdefault(r[1], len(known)) for r in rows]
-            one = {k: r for k, r in zip(keep, rows, strict=True)}
-            sets = [one[k][4] for k in range(len(one))]
-            roles: list[set[str]] = [set() for _ in sets]
-            for k, r in zip(keep, rows, strict=True):
-                roles[k].add(r[2])
-            members = [k for k, r in enumerate(roles) if r & {"member", "both"}]
-            queries = [k for k, r in enumerate(roles) if r & {"query", "both"}]
-            labels = join_block(sets, queries, members, [one[k][3] for k in range(len(one))], t)
-            reps = [one[k][1] for k in range(len(one))]
-            pairs = [(reps[k], reps[x]) for k, x in enumerate(labels) if x != k]
+        def done(rows: dict[int, tuple]) -> pa.RecordBatch:
+            nodes, found = list(rows), list(rows.values())
+            members = [k for k, r in enumerate(found) if r[0] & {"member", "both"}]
+            queries = [k for k, r in enumerate(found) if r[0] & {"query", "both"}]
+            labels = join_block([r[2] for r in found], queries, members, [r[1] for r in found], t)
+            pairs = [(nodes[k], nodes[x]) for k, x in enumerate(labels) if x != k]
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
-        rows: list[tuple] = []
+        at, rows = None, {}
         for batch in batches:
             for part, sets in _sets_of(batch, width):
-                for key, rep, role, known, s in zip(*(part.column(c).to_pylist() for c in ("key", "rep", "role", "known")), sets, strict=True):
-                    if rows and rows[-1][0] != key:
+                for key, node, role, known, s in zip(*(part.column(c).to_pylist() for c in ("key", "node", "role", "known")), sets, strict=True):
+                    if rows and at != key:
                         yield done(rows)
-                        rows = []
-                    rows.append((key, rep, role, known, s))
+                        rows = {}
+                    at = key
+                    if node in rows:  # the same set may be here as member and as query, or by a repeated row
+                        rows[node][0].add(role)
+                    elif digest(s)[0] == node:
+                        rows[node] = ({role}, known, s)
         if rows:
             yield done(rows)
 
@@ -345,73 +366,94 @@ def _join_chunks(width: int, t: float):
 
 
 def _search(texts: DataFrame, plan: DataFrame, width: int, t: float) -> DataFrame:
-    """Runs the chunks of plan (key, rep, role, known) on the texts (id, text) of their members."""
+    """Runs the chunks of plan (key, rep, node, role, known) on the texts (id, text) of their members."""
     plan = stash(plan, "plan")
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    rows = texts.join(plan, F.col("rep") == F.col("id")).select("key", "rep", "role", "known", "text")
-    return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_join_chunks(width, t), "a long, b long")
+    rows = texts.join(plan, F.col("rep") == F.col("id")).select("key", "node", "role", "known", "text")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_join_chunks(width, t), "a long, b long")
+
+
+def _chunks() -> Column:
+    return F.greatest(F.ceil(F.col("w") / CHUNK_WEIGHT), F.ceil(F.col("k") / CHUNK_ROWS)).cast("int")
+
+
+def _by_shingle(postings: DataFrame, members: DataFrame) -> DataFrame:
+    """A plan by which members (node, rep, known, n) meet under each shingle that some hold who are not connected yet. Shingles with the
+    same holders count once; holders over a chunk meet chunk by chunk, each pair of chunks under a key of its own."""
+    held = stash(postings.select(F.col("key").alias("token"), "node").join(members, "node").distinct(), "held")
+    mark = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "node"))
+    groups = held.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"), mark(1).alias("m1"), mark(2).alias("m2"), F.min("known").alias("lo"), F.max("known").alias("hi")).filter("lo <> hi")
+    groups = stash(groups.groupBy("k", "w", "m1", "m2").agg(F.min("token").alias("token")).select("token", _chunks().alias("chunks")), "groups")
+    own = held.join(groups, "token").withColumn("x", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    own = own.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    role = F.when(F.col("x") == F.col("y"), "both").when(F.col("x") < F.col("y"), "query").otherwise("member")
+    return own.select(F.xxhash64("token", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "rep", "node", role.alias("role"), "known")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.75) -> DataFrame:
-    """id, n_shingles and component_id, the smallest id that links reach, for each row.
+    """id, n_shingles, component_id (the smallest id that links reach) and text_hash (xxhash64 of the text) for each row.
 
     Shingles are runs of `width` words, words being runs of anything but ASCII white space, A-Z in lower case. Two documents link
     when the Jaccard index of their shingle sets is `threshold` (in hundredths) or more. The result is exact but for
-    collisions of 64-bit shingle hashes.
+    collisions of the 64-bit hashes of shingles and of sets.
 
     Defined results: null texts and texts without words have no shingles and are their own component; rows that repeat an id
-    are rows of their own, and those of the same text share a component; null ids link with nothing and get a null
+    are rows of their own, each with the links of its own text; null ids link with nothing and get a null
     component; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     t = threshold
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = stash(docs.mapInArrow(_survey(width), "id long, n long, d1 long, d2 long"), "survey")
+    text = F.col(f"`{text_col}`").cast("string")
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
+    rows = stash(docs.withColumn("h", F.xxhash64("text")).mapInArrow(_survey(width), "id long, h long, n long, d1 long, d2 long"), "survey")
     order = df.sparkSession.sparkContext.broadcast(Order(docs, width, rows.agg(F.sum("n")).first()[0] or 0))
+    postings = lambda local: docs.filter("id IS NOT NULL").select("text").mapInArrow(_postings(width, t, order, local), "key long, node long, lead long")
 
-    runs = docs.filter("id IS NOT NULL").select("text").mapInArrow(_postings(width, t, order), "token long, node long").repartition("token").sortWithinPartitions("token", "node")
+    runs = postings(True).repartition("key").sortWithinPartitions("key", "node")
     blocks = stash(components(runs.mapInArrow(_runs, "a long, b long")), "blocks")
 
-    classes = stash(rows.filter("id IS NOT NULL AND n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
-    inside = classes.join(blocks.select(F.col("node").alias("d1"), F.col("component").alias("block")), "d1").select("rep", "block", "n")
-    inside = inside.groupBy("rep", "block").agg(F.max("n").alias("n"))
+    # A class is known by the digest of its set, never by an id.
+    classes = stash(rows.filter("id IS NOT NULL AND n > 0").groupBy(F.col("d1").alias("node")).agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
+    inside = classes.join(blocks.select("node", F.col("component").alias("block")), "node")
     weights = inside.groupBy("block").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    chunks = F.ceil(F.col("w") / CHUNK_WEIGHT).cast("int")
-    inside = stash(inside.join(stash(weights.select("block", chunks.alias("chunks")), "weights"), "block").select("rep", "block", "chunks", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk")), "members")
+    inside = stash(inside.join(stash(weights.select("block", _chunks().alias("chunks")), "weights"), "block").select("node", "rep", "n", "block", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")), "members")
     key = lambda *c: F.xxhash64(*c)
     both = F.lit("both").alias("role")
-    own = F.col("rep").alias("known")
-    alone = inside.filter("chunks = 1").select(key("block").alias("key"), "rep", both, own)
+    own = F.col("node").alias("known")
+    alone = inside.filter("chunks = 1").select(key("block").alias("key"), "rep", "node", both, own)
     large = inside.filter("chunks > 1")
     # Some members of a large block, about HUBS, are in all of its chunks.
     sizes = large.groupBy("block").agg(F.count(F.lit(1)).alias("k"))
-    hub = F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("k")) < HUBS
+    hub = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("k")) < HUBS
     spread = F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))).alias("chunk")
-    parts = large.join(stash(sizes, "sizes"), "block").withColumn("hub", hub).select("block", "rep", spread).select(key("block", "chunk").alias("key"), "rep", both, own)
+    parts = large.join(stash(sizes, "sizes"), "block").withColumn("hub", hub).select("block", "rep", "node", spread).select(key("block", "chunk").alias("key"), "rep", "node", both, own)
     found = stash(_search(docs, alone.union(parts), width, t), "links")
 
     if not large.isEmpty():
         labels = stash(components(found), "labels")
-        known = large.join(labels, F.col("rep") == F.col("node"), "left").select("block", "chunks", "chunk", "rep", F.coalesce("component", "rep").alias("known"))
-        known = stash(known, "known")
+        known = stash(large.join(labels, "node", "left").select("block", "chunks", "chunk", "rep", "node", "n", F.coalesce("component", "node").alias("known")), "known")
         major = stash(known.groupBy("block", "known").count().groupBy("block").agg(F.max_by("known", F.struct("count", "known")).alias("major")), "major")
         minors = known.join(major, "block").filter(F.col("known") != F.col("major"))
         # Queries are cut into parts of their own, so that a group never holds more than a chunk and a part.
-        share = minors.groupBy("block").agg(F.count(F.lit(1)).alias("k"))
-        minors = stash(minors.join(stash(share, "share"), "block").select("block", "chunks", "rep", "known", F.ceil(F.col("k") / 1000).cast("int").alias("parts")).withColumn("part", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("parts")).cast("int")), "minors")
-        asked = minors.select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "part", "rep", "known")
-        parts = minors.groupBy("block").agg(F.max("parts").alias("parts"))
-        there = known.join(parts, "block").select("block", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "known")
-        plan = asked.withColumn("role", F.lit("query")).unionByName(there.withColumn("role", F.lit("member"))).select(key("block", "chunk", "part").alias("key"), "rep", "role", "known")
-        more = _search(docs, plan, width, t)
-        found = stash(found.union(more), "links")
+        share = stash(minors.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("parts")), "share")
+        few = share.filter(F.col("parts") <= MOST_PARTS)
+        minors = minors.join(few, "block").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("parts")).cast("int"))
+        asked = minors.select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "part", "rep", "node", "known")
+        there = known.join(few, "block").select("block", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "node", "known")
+        plan = asked.withColumn("role", F.lit("query")).unionByName(there.withColumn("role", F.lit("member"))).select(key("block", "chunk", "part").alias("key"), "rep", "node", "role", "known")
+        loose = known.join(share.filter(F.col("parts") > MOST_PARTS), "block", "left_semi").select("node", "rep", "known", "n")
+        if not loose.isEmpty():
+            plan = plan.unionByName(_by_shingle(postings(False), stash(loose, "loose")))
+        found = stash(found.union(_search(docs, plan, width, t)), "links")
 
     labels = stash(components(found), "labels")
-    named = stash(classes.join(labels, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id")), "named")
-    linked = rows.join(named, ["n", "d1", "d2"], "left").select("id", "n", "component_id")
+    tagged = stash(classes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "tagged")
+    smallest = stash(tagged.groupBy("component").agg(F.min("rep").alias("component_id")), "smallest")
+    named = stash(tagged.join(smallest, "component").select(F.col("node").alias("d1"), "component_id"), "named")
+    linked = rows.join(named, "d1", "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return linked.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return linked.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("h").alias("text_hash"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")

@@ -70,6 +70,31 @@ def test_large_blocks_in_chunks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("rows_a_chunk", [512, 6])
+def test_loose_blocks_meet_by_shingle(spark, monkeypatch, rows_a_chunk):
+    """All members of large blocks outside the largest component meet under their shingles, in chunks if these are hot."""
+    for name, value in {"CHUNK_WEIGHT": 600, "CHUNK_ROWS": rows_a_chunk, "HUBS": 1, "MOST_PARTS": 0, "ASKED": 1}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = corpus(random.Random(12))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_repeated_ids(spark):
+    rng = random.Random(13)
+    text = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c = text(60), text(60), text(30)
+    rows = [(5, a), (5, b), (8, a + " x"), (9, b + " y"), (2, c), (2, a + " z"), (7, c), (7, c), (4, ""), (4, None)]
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(5, 2), (5, 5), (8, 2), (9, 5), (2, 2), (2, 2), (7, 2), (7, 2), (4, 4), (4, 4)])
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(14)
+    long = [f"l{rng.randrange(10**5)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[100:])), (3, " ".join(long[:20_000])), (4, "x " * 400_000), (5, "x " * 9)]
+    assert run(spark, rows) == {1: (59_996, 1), 2: (59_896, 1), 3: (19_996, 3), 4: (1, 4), 5: (1, 4)}
+
+
 def test_coarse_order_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SLOTS", 12)
     monkeypatch.setattr(ngram_join, "FREQUENT", 3)
