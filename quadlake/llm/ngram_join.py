@@ -392,7 +392,8 @@ def _by_shingle(postings: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.75) -> DataFrame:
-    """id, n_shingles, component_id (the smallest id that links reach) and text_hash (xxhash64 of the text) for each row.
+    """id, n_shingles, component_id (the smallest id that links reach), group_key (of the component itself, as an id on rows of different
+    texts may be the smallest of several; null without shingles) and text_hash (xxhash64 of the text) for each row.
 
     Shingles are runs of `width` words, words being runs of anything but ASCII white space, A-Z in lower case. Two documents link
     when the Jaccard index of their shingle sets is `threshold` (in hundredths) or more. The result is exact but for
@@ -449,11 +450,11 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     labels = stash(components(found), "labels")
     tagged = stash(classes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "tagged")
     smallest = stash(tagged.groupBy("component").agg(F.min("rep").alias("component_id")), "smallest")
-    named = stash(tagged.join(smallest, "component").select(F.col("node").alias("d1"), "component_id"), "named")
+    named = stash(tagged.join(smallest, "component").select(F.col("node").alias("d1"), "component_id", F.col("component").alias("group_key")), "named")
     linked = rows.join(named, "d1", "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return linked.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("h").alias("text_hash"))
+    return linked.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), "group_key", F.col("h").alias("text_hash"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("group_key", "text_hash")

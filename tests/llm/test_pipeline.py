@@ -52,6 +52,38 @@ def test_stages(spark, tmp_path):
         assert {r["doc_id"]: (r["shard"], r["slot"]) for r in out} == brute_shards(once, 24)
 
 
+CLASHES = ["p", "letters", "host", "declared", "leaks", "size", "target", "repeats", "component_id", "n_shingles", "shard", "item", "key"]
+
+
+def test_stages_with_odd_rows_and_clashing_names(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and ids, and columns named like those of the operators."""
+    rng = random.Random(6)
+    en = [f"the{x}ing" for x in "abcdefghijklmnop"]
+    say = lambda n: " ".join(rng.choice(en) for _ in range(n))
+    rows = [(i, say(60), "en", f"s{i % 3}") for i in range(40)]
+    rows += [rows[3], rows[3], (4, say(50), "en", None), (None, say(40), None, "s1"), (None, None, None, None), (50, "", "en", "s1"), (51, None, "en", "s2"), (52, say(30_000), "en", "s0"), (53, rows[5][1], "en", "s2")]
+    columns = "doc_id long, text string, lang string, source string"
+    odd = spark.createDataFrame([(*r, *[f"{c}{i}" for c in CLASHES]) for i, r in enumerate(rows)], f"{columns}, {', '.join(f'{c} string' for c in CLASHES)}")
+    none = spark.createDataFrame([], odd.schema)
+    spark.createDataFrame([(1, say(20)), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    whole = {r["p"]: r for r in odd.collect()}
+
+    def stage(name, docs):
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+        return out, out.collect()
+
+    for name, n in {"language ID": 46, "n-gram Jaccard join": 46, "benchmark decontamination": 49}.items():
+        out, got = stage(name, odd)
+        assert out.columns == odd.columns and len(got) == n and all(r == whole[r["p"]] for r in got), name
+    out, got = stage("mixing sources", odd)
+    assert out.columns == odd.columns and set(got) <= set(whole.values()) and max(Counter(r["p"] for r in got if r["text"]).values()) <= 2
+    out, got = stage("sharding", odd)
+    shards = Counter(r["shard"] for r in got)
+    assert len(got) == 49 and max(shards.values()) - min(shards[s] for s in range(24)) <= 1
+    for name, _ in corpus_pipeline.STAGES:
+        assert stage(name, none)[1] == []
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_return_whole_tables(spark, name):
