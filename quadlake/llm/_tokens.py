@@ -40,7 +40,7 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def batches_of(texts: pa.Array, most: int = 1 << 20):
+def batches_of(texts: pa.Array, most: int = 1 << 18):
     """Cuts an array of texts into runs of about `most` bytes, one text at least."""
     ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64))
     at = 0

@@ -83,6 +83,17 @@ def train(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
     return langs, np.log(table / table.sum(1, keepdims=True))
 
 
+def _by_text(texts: pa.Array, table: np.ndarray, temper: float) -> tuple[np.ndarray, np.ndarray]:
+    """The languages' probabilities by the text alone, and the bytes of letters, for each text."""
+    p, letters = np.zeros((len(texts), len(table))), np.zeros(len(texts), np.int64)
+    for a, b in batches_of(texts, 1 << 18):
+        key, doc, letters[a:b] = _grams(texts.slice(a, b - a))
+        ll = np.stack([np.bincount(doc, t[key], minlength=b - a) for t in table], 1) / temper
+        e = np.exp(ll - ll.max(1, keepdims=True))
+        p[a:b] = e / e.sum(1, keepdims=True)
+    return p, letters
+
+
 def score(df: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: str = "text", temper: float = 3.0) -> DataFrame:
     """df with p, the languages' probabilities by the text alone, and letters (bytes of letters in it).
 
@@ -93,14 +104,9 @@ def score(df: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: str =
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i, j, k = (batch.schema.get_field_index(c) for c in (text_col, "p", "letters"))
-            for a, b in batches_of(batch.column(i)):
-                part = batch.slice(a, b - a)
-                key, doc, letters = _grams(part.column(i))
-                ll = np.stack([np.bincount(doc, t[key], minlength=b - a) for t in table.value], 1) / temper
-                p = np.exp(ll - ll.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
-                yield part.set_column(j, "p", p).set_column(k, "letters", pa.array(letters, pa.int64()))
+            p, letters = _by_text(batch.column(i), table.value, temper)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
+            yield batch.set_column(j, "p", lists).set_column(k, "letters", pa.array(letters, pa.int64()))
 
     out = put(df, p=F.array().cast("array<double>"), letters=F.lit(None).cast("long"))
     return out.mapInArrow(look, out.schema)
@@ -138,48 +144,80 @@ class Evidence:
         self.tables = {k: table(k) for k in ("declared", "suffix", "host", "domain")}
 
 
+def _posterior(p: np.ndarray, found: dict[str, np.ndarray], whole: np.ndarray, kappa: float) -> np.ndarray:
+    """Posteriors of the classes. p: of the rows by text; found: by kind of evidence the class counts of each row's value, NaN without."""
+    n = whole.sum() or 1.0
+    prior = np.broadcast_to((whole + 1.0) / (n + len(whole)), p.shape)
+    for level in ("domain", "host"):
+        others = np.maximum(found[level] - p, 0.0)
+        mixed = (others + kappa * prior) / (np.maximum(found[level].sum(1, keepdims=True) - 1.0, 0.0) + kappa)
+        prior = np.where(np.isnan(mixed), prior, mixed)
+    like = np.log(np.maximum(p, 1e-300)) + np.log(prior)
+    for kind in ("declared", "suffix"):
+        c = found[kind]
+        same = c.sum(1, keepdims=True)
+        # P(value | language) against P(value), smoothed with kappa rows of the latter; the row itself is left out.
+        with np.errstate(invalid="ignore"):
+            ratio = (np.maximum(c - p, 0.0) + kappa * same / n) / (whole + kappa) / (same / n)
+        like = like + np.where(np.isnan(c), 0.0, np.log(np.where(np.isnan(ratio), 1.0, ratio)))
+    e = np.exp(like - like.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+KINDS = ("declared", "suffix", "host", "domain")
+
+
+def _settle(df: DataFrame, evidence: Evidence, probabilities, *, wanted: list[str] | None, min_confidence: float, kappa: float) -> DataFrame:
+    """df joined to the evidence, and language, confidence and accepted in place of what was used; probabilities(batch) gives p and letters.
+
+    The rows are joined by key; tables that Spark knows to be small are broadcast, others are joined by shuffle, hot hosts split by AQE.
+    """
+    out = df
+    for kind, table in evidence.tables.items():
+        out = out.join(table, F.col(kind) == F.col(f"__ql_{kind}_k"), "left").drop(f"__ql_{kind}_k")
+    used = {"p", "letters", *KINDS, *[f"__ql_{k}" for k in KINDS], "language", "confidence", "accepted"}
+    kept = [f for f in out.schema.fields if f.name.lower() not in used]
+    langs, whole = evidence.langs, np.array(evidence.whole)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, letters = probabilities(batch)
+            found = {}
+            for kind in KINDS:
+                column = batch.column(f"__ql_{kind}")
+                found[kind] = np.full(p.shape, np.nan)
+                there = np.asarray(column.is_valid())
+                found[kind][there] = np.asarray(column.drop_null().flatten()).reshape(-1, p.shape[1])
+            e = _posterior(p, found, whole, kappa)
+            best = e.argmax(1)
+            language = [langs[i] if n and langs[i] != OUTSIDE else None for i, n in zip(best.tolist(), letters.tolist(), strict=True)]
+            confidence = np.where(letters > 0, e.max(1), 0.0)
+            accepted = [x is not None and c >= min_confidence and (not wanted or x in wanted) for x, c in zip(language, confidence.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(language, pa.string()), pa.array(confidence), pa.array(accepted, pa.bool_())], names=[*[f.name for f in kept], "language", "confidence", "accepted"])
+
+    schema = put(out.select(*[F.col(f"`{f.name}`") for f in kept]), language=F.lit(None).cast("string"), confidence=F.lit(0.0), accepted=F.lit(True)).schema
+    return out.mapInArrow(look, schema)
+
+
 def fuse(scored: DataFrame, evidence: Evidence, *, wanted: list[str] | None = None, min_confidence: float = 0.5, kappa: float = 20.0) -> DataFrame:
     """scored with language, confidence and accepted; columns p, letters, declared, suffix, host and domain are used up.
 
-    A text without letters, or one that most likely is in none of the languages, has no language and is not accepted.
-
-    Priors count the other rows of a host and its domain and `kappa` rows of the level above. The rows are joined to the
-    evidence by key; tables that Spark knows to be small are broadcast, others are joined by shuffle, hot hosts split by AQE.
+    A text without letters, or one that most likely is in none of the languages, has no language and is not accepted. Priors count the
+    other rows of a host and its domain and `kappa` rows of the level above.
     """
-    langs, at, out = evidence.langs, range(len(evidence.langs)), scored
-    whole = sum(evidence.whole) or 1.0
-    for key, table in evidence.tables.items():
-        out = out.join(table, F.col(key) == F.col(f"__ql_{key}_k"), "left")
-    array = lambda f: F.array(*[f(i) for i in at])
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    prior = array(lambda i: F.lit((evidence.whole[i] + 1.0) / (whole + len(langs))))
-    for level in ("domain", "host"):
-        own = f"__ql_prior_{level}"
-        c = F.col(f"__ql_{level}")
-        n = total(c) - 1.0
-        mixed = array(lambda i: (F.greatest(c[i] - F.col("p")[i], F.lit(0.0)) + kappa * prior[i]) / (F.greatest(n, F.lit(0.0)) + kappa))  # noqa: B023
-        out = out.withColumn(own, F.when(c.isNull(), prior).otherwise(mixed))
-        prior = F.col(own)
-    like = [F.log(F.greatest(F.col("p")[i], F.lit(1e-300))) + F.log(prior[i]) for i in at]
-    for key in ("declared", "suffix"):
-        c = F.col(f"__ql_{key}")
-        n = total(c)
-        for i in at:
-            # P(value | language) against P(value), smoothed with kappa rows of the latter; the row itself is left out.
-            ratio = (F.greatest(c[i] - F.col("p")[i], F.lit(0.0)) + kappa * n / whole) / (evidence.whole[i] + kappa) / (n / whole)
-            like[i] = like[i] + F.when(c.isNull(), 0.0).otherwise(F.log(ratio))
-    out = out.withColumn("__ql_ll", F.array(*like))
-    out = out.withColumn("__ql_e", F.transform("__ql_ll", lambda x: F.exp(x - F.array_max("__ql_ll"))))
-    best = (F.array_position("__ql_e", F.lit(1.0)) - 1).cast("int")
-    language = F.when(F.col("letters") > 0, F.nullif(F.array(*map(F.lit, langs))[F.greatest(best, F.lit(0))], F.lit(OUTSIDE)))
-    confidence = F.when(F.col("letters") > 0, 1.0 / total(F.col("__ql_e"))).otherwise(0.0)
-    out = put(out, language=language, confidence=confidence)
-    accepted = F.col("language").isNotNull() & (F.col("confidence") >= min_confidence)
-    if wanted:
-        accepted = accepted & F.col("language").isin(wanted)
-    out = put(out, accepted=F.coalesce(accepted, F.lit(False)))
-    used = {"p", "letters", "declared", "suffix", "host", "domain"}
-    return out.drop(*[c for c in out.columns if c in used or c.startswith("__ql_")])
+
+    def known(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return np.asarray(batch.column("p").flatten()).reshape(batch.num_rows, -1), np.asarray(batch.column("letters"))
+
+    return _settle(scored, evidence, known, wanted=wanted, min_confidence=min_confidence, kappa=kappa)
+
+
+def identify(df: DataFrame, model: tuple[list[str], np.ndarray], evidence: Evidence, *, text_col: str = "text", temper: float = 3.0, wanted: list[str] | None = None, min_confidence: float = 0.5, kappa: float = 20.0) -> DataFrame:
+    """Like `fuse` for rows that still have their text, which is scored in the same pass and stays."""
+    table = df.sparkSession.sparkContext.broadcast(model[1])
+    return _settle(df, evidence, lambda batch: _by_text(batch.column(text_col), table.value, temper), wanted=wanted, min_confidence=min_confidence, kappa=kappa)
 
 
 def evidence_columns(df: DataFrame, *, declared: Column, host: Column) -> DataFrame:

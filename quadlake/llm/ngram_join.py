@@ -36,10 +36,10 @@ ASKED, MOST_PARTS = 1000, 8
 #: most frequent ones. Beyond these bounds the order is coarser and more candidates need verification; results are the same.
 SLOTS, FREQUENT = 28, 1 << 20
 #: Shingles that a task of the counting pass holds.
-COUNTED = 2 << 20
+COUNTED = 1 << 20
 #: Members whose texts are looked up by broadcasting their ids; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
-FLUSH_ROWS = 1 << 19
+FLUSH_ROWS = 1 << 18
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
