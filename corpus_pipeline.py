@@ -35,7 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     scored = stash(lang_id.score(evidence(narrow), model).drop("text"), "languages")
     rows, back = _aside(docs, "text")
     rows = rows.withColumn("from", back[docs.columns.index("source")])
-    found = lang_id.fuse(lang_id.score(evidence(rows), model), lang_id.Evidence(scored, model[0]))
+    found = lang_id.identify(evidence(rows), model, lang_id.Evidence(scored, model[0]))
     return found.filter("accepted").select(*back)
 
 
