@@ -9,11 +9,16 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch that goes to a Python worker, where the session does not say: two copies of it are held on either side.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, SPARKS_OWN = "4m", str(64 << 20)
 
 
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors through Spark's file server, once for each application."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, SPARKS_OWN).rstrip("b") == SPARKS_OWN:
+        spark.conf.set(BATCH, BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.abspath(__file__))
