@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadlake.llm._common import put, read, stash
+from quadlake.llm._filter import Filter
 from quadlake.llm._tokens import batches_of, mix, words
 
 #: By the least number of equal words that a leak has: masks (1: the word counts) of which one hits every run with that many equal
@@ -27,8 +28,6 @@ LEAST_IDENTITY = Fraction(3, 4)
 REACH = 63
 #: Hits whose first words are so near share the words around them.
 STRIDE = 256
-#: Bits of the filter that all tasks hold, as a power of two: so many for each seed, and at most (32 MB).
-BITS_A_SEED, MOST_BITS = 8, 28
 #: Texts of which a task remembers that it has searched them.
 SEEN = 500_000
 LEAKS = "array<struct<item:long,matched:int,words:int,at:int>>"
@@ -98,28 +97,6 @@ def _test_rows(min_matched: int, identity: Fraction):
     return look
 
 
-class Filter:
-    """Tells for a seed whether a test text may have it: two bits for each, from different ends of the hash."""
-
-    def __init__(self, seeds: DataFrame, count: int):
-        self.bits = max(12, min(MOST_BITS, BITS_A_SEED + math.ceil(math.log2(max(1, count)))))
-        low = F.col("seed").bitwiseAND(F.lit((1 << self.bits) - 1))
-        slot = F.explode(F.array(low, F.shiftrightunsigned("seed", 64 - self.bits))).alias("slot")
-        # At most 2**(MOST_BITS - 6) rows reach the driver.
-        got = seeds.select(slot).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 63))")).alias("w")).toArrow()
-        self.table = np.zeros(1 << (self.bits - 6), np.uint64)
-        self.table[np.asarray(got.column("at"))] = np.asarray(got.column("w")).view(np.uint64)
-
-        self.table = self.table.view(np.uint8)  # little-endian: bit k of the slots is bit k % 8 of byte k // 8
-
-    def _set(self, slots: np.ndarray) -> np.ndarray:
-        return (self.table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
-
-    def passing(self, seeds: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self._set((seeds & np.uint64((1 << self.bits) - 1)).view(np.int64)))
-        return at[self._set((seeds[at] >> np.uint64(64 - self.bits)).view(np.int64)) == 1]
-
-
 def _hits(masks: list[tuple[str, np.uint64]], shared):
     """Of each text with seeds that pass the filter: the words around them, in pieces of bounded length, and the seeds with their
     places in the piece. Columns key, base (the piece's first word), train, hits."""

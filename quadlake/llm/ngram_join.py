@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quadlake.llm._common import read, stash, unstash
 from quadlake.llm._components import components
+from quadlake.llm._filter import Filter
 from quadlake.llm._tokens import batches_of, mix, windows, words
 
 #: Groups that shingles are hashed into, and the fan-out of the tree.
@@ -197,12 +198,12 @@ class Order:
         return out
 
 
-def _postings(width: int, t: float, order, local: bool):
+def _postings(width: int, t: float, order, only=None):
     """key, node, lead for the first shingles of each class; a task sends a class once.
 
-    Rows without a lead are shingles (key) and their holders (node). With `local`, a task already links the holders it knows to the
-    first of them, which alone goes on as a holder; links have a node and its lead, and the node for a key. However many
-    texts hold a shingle, only a row from each run of a task meets under it.
+    Rows without a lead are shingles (key) and their holders (node). A task already links the holders it knows to the first of them,
+    which alone goes on as a holder; links have a node and its lead, and the node for a key. However many texts hold a
+    shingle, only a row from each run of a task meets under it. With a filter of nodes, its nodes alone and all holders go on.
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +215,7 @@ def _postings(width: int, t: float, order, local: bool):
             node = np.repeat(np.array(owners, np.int64), [len(h) for h in held]) if held else np.zeros(0, np.int64)
             token = np.concatenate(held).view(np.int64) if held else np.zeros(0, np.int64)
             link = np.zeros((0, 2), np.int64)
-            if local and len(token):
+            if only is None and len(token):
                 by = np.lexsort((node, token))
                 token, node = token[by], node[by]
                 first = np.concatenate([[True], token[1:] != token[:-1]])
@@ -233,6 +234,8 @@ def _postings(width: int, t: float, order, local: bool):
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(node)
+                    if only is not None and not len(only.value.passing(np.array([node], np.int64).view(np.uint64))):
+                        continue
                     held.append(s[np.argsort(level(s), kind="stable")][: prefix_length(len(s), t)])
                     owners.append(node)
                     size += len(held[-1])
@@ -408,9 +411,9 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
     rows = stash(docs.withColumn("h", F.xxhash64("text")).mapInArrow(_survey(width), "id long, h long, n long, d1 long, d2 long"), "survey")
     order = df.sparkSession.sparkContext.broadcast(Order(docs, width, rows.agg(F.sum("n")).first()[0] or 0))
-    postings = lambda local: docs.filter("id IS NOT NULL").select("text").mapInArrow(_postings(width, t, order, local), "key long, node long, lead long")
+    postings = lambda *only: docs.filter("id IS NOT NULL").select("text").mapInArrow(_postings(width, t, order, *only), "key long, node long, lead long")
 
-    runs = postings(True).repartition("key").sortWithinPartitions("key", "node")
+    runs = postings().repartition("key").sortWithinPartitions("key", "node")
     blocks = stash(components(runs.mapInArrow(_runs, "a long, b long")), "blocks")
 
     # A class is known by the digest of its set, never by an id.
@@ -443,8 +446,11 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         there = known.join(few, "block").select("block", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "node", "known")
         plan = asked.withColumn("role", F.lit("query")).unionByName(there.withColumn("role", F.lit("member"))).select(key("block", "chunk", "part").alias("key"), "rep", "node", "role", "known")
         loose = known.join(share.filter(F.col("parts") > MOST_PARTS), "block", "left_semi").select("node", "rep", "known", "n")
-        if not loose.isEmpty():
-            plan = plan.unionByName(_by_shingle(postings(False), stash(loose, "loose")))
+        loose = stash(loose, "loose")
+        if k := loose.count():
+            # Only the shingles of these members are sent out again.
+            only = df.sparkSession.sparkContext.broadcast(Filter(loose.select(F.col("node").alias("seed")), k))
+            plan = plan.unionByName(_by_shingle(postings(only), loose))
         found = stash(found.union(_search(docs, plan, width, t)), "links")
 
     labels = stash(components(found), "labels")

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from quadlake.llm import decontam
+from quadlake.llm._filter import Filter
 from quadlake.llm._tokens import words
 
 
@@ -131,5 +132,5 @@ def test_empty_tables_and_clashing_names(spark):
 def test_filter_passes_all_seeds(spark):
     w = words(pa.array([" ".join(f"w{i}" for i in range(4000))]))
     seeds = decontam.seeds_of(w.hashes, *decontam.masks_for(9)[0])
-    f = decontam.Filter(spark.createDataFrame([(int(x),) for x in seeds[:1000].view("int64")], "seed long"), 1000)
+    f = Filter(spark.createDataFrame([(int(x),) for x in seeds[:1000].view("int64")], "seed long"), 1000)
     assert len(f.passing(seeds[:1000])) == 1000 and len(f.passing(seeds[1000:])) < 30
