@@ -362,13 +362,13 @@ def inherited_domain_range(spark, sf):
     return graphs.nearest(up, spark.createDataFrame([("isbn", "Book"), ("code", "Item")], "node string, domain string"), "domain")
 
 
-CHAIN = """c AS (SELECT event_id AS a, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, user_id FROM events WHERE user_id <= 5)"""
+CHAIN = """c AS (SELECT event_id AS a, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, user_id FROM events)"""
 
 
 def _chain(spark, sf):
-    """Events of a few users as commits, each with the event before it as a parent."""
+    """Events as commits, each with its user's event before it as a parent."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, sf, "events").filter("user_id <= 5").select(F.col("event_id").alias("a"), F.lag("event_id").over(w).alias("b"), "user_id")
+    e = read(spark, sf, "events").select(F.col("event_id").alias("a"), F.lag("event_id").over(w).alias("b"), "user_id")
     return e.filter("b IS NOT NULL")
 
 
@@ -515,12 +515,12 @@ def literal_cast_rules(spark, sf):
     return d.select("lex", "dt", F.regexp_replace(literals.read_type(full), XSD, "").alias("read_as"), literals.valid(F.col("lex"), full).alias("valid"))
 
 
-@query("""WITH i AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos FROM lineitem WHERE l_orderkey < 200)
+@query("""WITH i AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos FROM lineitem)
 SELECT 'o' || l_orderkey AS s_id, list('p' || l_partkey ORDER BY pos) AS members, count(*)::INTEGER AS n FROM i GROUP BY l_orderkey""")
 def list_rebuild(spark, sf):
     """Part lists written as rdf:first/rest chains and folded again."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    rows = read(spark, sf, "lineitem").filter("l_orderkey < 200").select("l_orderkey", "l_partkey", F.row_number().over(w).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("n"))
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", F.row_number().over(w).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("n"))
     cell = lambda pos: F.concat(F.lit("_:l"), F.col("l_orderkey").cast("string"), F.lit("_"), pos.cast("string"))
     nil = F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#nil")
     first = rows.select(cell(F.col("pos")).alias("s"), F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#first").alias("p"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("o"))
