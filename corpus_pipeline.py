@@ -13,6 +13,9 @@ from quadlake._ship import ship
 from quadlake.llm import decontam, lang_id, mixing, ngram_join, sharding
 from quadlake.llm._common import read, stash
 
+#: Keys that are looked up by broadcasting them.
+BROADCAST_ROWS = 500_000
+
 
 def _aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
     """docs with names of no meaning to the operators for all columns but the used ones, and the expressions that bring the old names back:
@@ -21,6 +24,11 @@ def _aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
 
 
+def _checked(keys: DataFrame) -> DataFrame:
+    """A written table of two numbers a row, marked for broadcast if it has no more than BROADCAST_ROWS (8 MB); else the join shuffles."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, in none of the known ones, or without one that the evidence settles on, go. The source serves as the
     host.
@@ -48,9 +56,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = stash(ngram_join.near_duplicates(docs).filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("group_key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), "groups")
     first = found.groupBy("group_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     marked = found.join(stash(first, "firsts"), "group_key").withColumn("stays", F.col("first") == F.struct("doc_id", "text_hash"))
-    # Written first, so that the planner knows their sizes and broadcasts them only below its limit.
-    gone = stash(marked.filter("NOT stays").select("doc_id", F.col("text_hash").alias("kept_hash")), "near-duplicates")
-    twice = stash(marked.filter("stays AND n > 1").select("doc_id", F.col("text_hash").alias("kept_hash")), "repeated-rows")
+    gone = _checked(stash(marked.filter("NOT stays").select("doc_id", F.col("text_hash").alias("kept_hash")), "near-duplicates"))
+    twice = _checked(stash(marked.filter("stays AND n > 1").select("doc_id", F.col("text_hash").alias("kept_hash")), "repeated-rows"))
     key = ["doc_id", "kept_hash"]
     rows, back = _aside(docs, "doc_id", "text")
     left = rows.withColumn("kept_hash", F.xxhash64("text")).join(gone, key, "left_anti")
