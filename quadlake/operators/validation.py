@@ -35,14 +35,15 @@ def functional(q: DataFrame, ontology: DataFrame) -> DataFrame:
     return _findings(once, "functional_property", p="prop", count="n").union(_findings(one, "inverse_functional_property", p="prop", count="n"))
 
 
-def rdf_type(q: DataFrame, ontology: DataFrame) -> DataFrame:
-    """RdfType_missing for nodes without a type, RdfType_wrong for those with neither a main class nor a property type. The graph
+def rdf_type(q: DataFrame, ontology: DataFrame, main_class: str = MAIN_CLASS) -> DataFrame:
+    """RdfType_missing for nodes without a type, RdfType_wrong for those with neither a class below an instance of `main_class` nor a
+    property type. The graph
     node itself, lists and classes are left out."""
     nodes = q.filter((F.col("s_kind") != "collection") & (F.col("s_id") != F.col("graph_iri"))).select("graph_iri", F.col("s_id").alias("node")).distinct()
     typed = types(q)
     missing = nodes.join(typed.select("graph_iri", "node"), ["graph_iri", "node"], "left_anti")
     low = _up(class_edges(ontology), typed.select(F.col("cls").alias("a")).distinct())
-    main = low.join(ontology.filter((F.col("p") == RDF_TYPE) & (F.col("o_id") == MAIN_CLASS)).select(F.col("s_id").alias("b")), "b", "left_semi").select(F.col("a").alias("cls"))
+    main = low.join(ontology.filter((F.col("p") == RDF_TYPE) & (F.col("o_id") == main_class)).select(F.col("s_id").alias("b")), "b", "left_semi").select(F.col("a").alias("cls"))
     fine = typed.join(main, "cls", "left_semi").select("graph_iri", "node")
     exempt = typed.filter(F.col("cls").isin(f"{OWL}Class", *PROPERTY_TYPES)).select("graph_iri", "node")
     wrong = nodes.join(typed.select("graph_iri", "node"), ["graph_iri", "node"], "left_semi").join(fine.union(exempt), ["graph_iri", "node"], "left_anti")
@@ -52,7 +53,7 @@ def rdf_type(q: DataFrame, ontology: DataFrame) -> DataFrame:
 def domain_and_range(q: DataFrame, ontology: DataFrame) -> DataFrame:
     """predicate_not_property, domain_mismatch and range_mismatch. Any declared domain or range, on the property or the nearest above
     it, satisfies; every predicate and every list member is checked."""
-    triples = q.filter(~F.col("p").isin(RDF_TYPE, RDF_FIRST)).select("graph_iri", F.col("s_id").alias("node"), "p", "o_kind", "o_id", "o_lex", "o_dt", "o_items")
+    triples = q.filter(~F.col("p").isin(RDF_TYPE, RDF_FIRST)).select("graph_iri", F.col("s_id").alias("node"), "p", "o_kind", "o_id", "o_lex", "o_dt", "o_lang", "o_items")
     declared = from_graph(ontology).filter("is_property").select(F.col("iri").alias("b"))
     chain = closure(property_edges(ontology)).union(triples.select(F.col("p").alias("a"), F.col("p").alias("b"), F.lit(0)).distinct())
     real = chain.join(declared, "b", "left_semi").select(F.col("a").alias("p")).distinct()
@@ -81,12 +82,13 @@ def domain_and_range(q: DataFrame, ontology: DataFrame) -> DataFrame:
     objects = triples.filter("o_kind IN ('iri', 'blank')").select("graph_iri", "node", "p", F.col("o_id").alias("target"))
     objects = objects.join(local, ["graph_iri", "target"], "left_semi")  # nodes of other graphs are not known here
     out = out.union(mismatched(objects, "target", ranges, "range_mismatch"))
-    literals = triples.filter("o_kind = 'literal'").select("graph_iri", "node", "p", F.col("o_lex").alias("lex"), F.col("o_dt").alias("dt"))
-    literals = literals.union(members.filter("m.kind = 'literal'").select("graph_iri", "node", "p", "m.lex", "m.dt"))
+    literals = triples.filter("o_kind = 'literal'").select("graph_iri", "node", "p", F.col("o_lex").alias("lex"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang"))
+    literals = literals.union(members.filter("m.kind = 'literal'").select("graph_iri", "node", "p", "m.lex", "m.dt", "m.lang")).fillna("", ["dt", "lang"]).distinct()
+    term = ["graph_iri", "node", "p", "lex", "dt", "lang"]
     data = ranges.filter(F.col("want").startswith(XSD) | (F.col("want") == f"{RDFS}Literal"))
-    fits = literals.join(data, "p").filter((F.col("want") == F.col("dt")) | (F.col("want") == f"{RDFS}Literal")).select("graph_iri", "node", "p", "lex")
-    bad = literals.join(ranges.select("p").distinct(), "p", "left_semi").join(fits, ["graph_iri", "node", "p", "lex"], "left_anti")
-    return out.union(_findings(bad.distinct(), "range_mismatch", value="lex"))
+    fits = literals.join(data, "p").filter((F.col("want") == F.col("dt")) | (F.col("want") == f"{RDFS}Literal")).select(*term)
+    bad = literals.join(ranges.select("p").distinct(), "p", "left_semi").join(fits, term, "left_anti")
+    return out.union(_findings(bad.select("graph_iri", "node", "p", "lex").distinct(), "range_mismatch", value="lex"))
 
 
 def uniqueness(docs: DataFrame, by: list[str]) -> DataFrame:
@@ -97,12 +99,13 @@ def uniqueness(docs: DataFrame, by: list[str]) -> DataFrame:
 CHECKS = {"RdfType": rdf_type, "DomainAndRange": domain_and_range, "FunctionalProperty": functional}
 
 
-def validate(q: DataFrame, ontology: DataFrame | None = None, checks: list[str] | None = None) -> DataFrame:
-    """All findings of the chosen checks. The ontology counts beside the graphs but is not reported on."""
+def validate(q: DataFrame, ontology: DataFrame | None = None, checks: list[str] | None = None, *, main_class: str = MAIN_CLASS) -> DataFrame:
+    """All findings of the chosen checks; `main_class` is the type of the classes that nodes may have. The ontology counts beside the graphs
+    but is not reported on."""
     whole = q if ontology is None else q.unionByName(ontology)
     out = None
     for name in checks or list(CHECKS):
-        found = CHECKS[name](q, whole)
+        found = CHECKS[name](q, whole, main_class) if name == "RdfType" else CHECKS[name](q, whole)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import time
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -115,14 +114,18 @@ class Repository:
         df.select(*columns).write.mode("append").parquet(f"{self.root}/{name}")
 
     def refs(self) -> DataFrame:
-        if not self.files.exists("HEAD"):
+        """The newest complete table of references. A table that a crash has cut off lacks its marker and is passed over."""
+        if (name := self._newest_refs()) is None:
             return self.spark.createDataFrame([], REFS)
-        return self.spark.read.schema(REFS).parquet(f"{self.root}/refs/{self.files.read('HEAD')}")
+        return self.spark.read.schema(REFS).parquet(f"{self.root}/refs/{name}")
+
+    def _newest_refs(self) -> str | None:
+        names = self.files.folders("refs") if self.files.exists("refs") else []
+        return next((n for n in sorted(names, key=lambda n: int(n.split("-")[0]), reverse=True) if self.files.exists(f"refs/{n}/_SUCCESS")), None)
 
     def _set_refs(self, refs: DataFrame) -> None:
-        name = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        name = f"{int((self._newest_refs() or '0').split('-')[0]) + 1:020d}-{uuid.uuid4().hex[:8]}"
         refs.dropDuplicates(["ds_id", "kind", "name"]).coalesce(1).write.parquet(f"{self.root}/refs/{name}")
-        self.files.write("HEAD", name)
 
     def _need_history(self) -> None:
         if not self.history:

@@ -109,6 +109,15 @@ def test_validation(spark):
     assert validation.report(found).first()["report"].startswith("[{")
 
 
+def test_a_literal_fits_by_datatype(spark):
+    onto = graph(spark, ONTO, "onto")
+    both = graph(spark, [("x", RDF_TYPE, "D"), ("x", "n", "1", f"{XSD}string"), ("x", "n", "1", f"{XSD}integer")])
+    assert pairs(validation.domain_and_range(both, both.unionByName(onto)), "rule", "node", "value") == {("range_mismatch", "x", "1")}
+    other = graph(spark, [("C", RDF_TYPE, "http://own/Main"), ("D", f"{RDFS}subClassOf", "C")], "onto")
+    assert validation.validate(graph(spark, [("x", RDF_TYPE, "D")]), other, ["RdfType"], main_class="http://own/Main").isEmpty()
+    assert validation.validate(graph(spark, [("x", RDF_TYPE, "D")]), other, ["RdfType"]).count() == 1
+
+
 def test_vocabulary(spark):
     v = vocabulary.from_graph(graph(spark, ONTO, "onto"))
     assert pairs(v.filter("is_main_class"), "iri") == {("C",)} and v.filter("iri = 'p'").first()["range"] == "C"

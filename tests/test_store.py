@@ -72,3 +72,13 @@ def test_super_repository(spark, tmp_path):
         top.get("a").commit(g(spark, "http://x", "1"), ["http://x"], message="", author="")
     top.delete("a")
     assert top.names() == [] and access_mode(["app.read-only", "app.Read-Write"]) == "read-write"
+
+
+def test_references_survive_a_crash(spark, tmp_path):
+    repo = Repository.create(spark, str(tmp_path / "r"))
+    first = repo.commit(g(spark, "http://low", "1"), ["http://low"], message="one", author="me")
+    # A newer table that was never completed does not count.
+    (tmp_path / "r" / "refs" / "00000000000000000009-cut").mkdir()
+    assert {r["o_lex"] for r in repo.checkout_branch(ds(spark, "http://low")).collect()} == {"1"}
+    repo.commit(g(spark, "http://low", "2"), ["http://low"], message="two", author="me", checked_out=[first])
+    assert {r["o_lex"] for r in repo.checkout_branch(ds(spark, "http://low")).collect()} == {"2"}
