@@ -132,10 +132,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(rows: DataFrame, corpus: DataFrame, *, text_col: str = "text", strength: float = 0.1, min_z: float = 2.5, max_tokens: int = 1 << 16) -> Model:
+def train(rows: DataFrame, corpus: DataFrame, *, text_col: str = "text", strength: float = 0.1, min_z: float = 2.5) -> Model:
     """rows: text and label of the bounded sample; corpus: all rows, whose counts shape the prior.
 
-    Counts are of texts, so that a text that repeats a token counts once. `strength` is the prior's weight in labelled tokens; the `max_tokens` tokens with the largest z over `min_z` keep scores of their own.
+    Counts are of texts, so that a text that repeats a token counts once. `strength` is the prior's weight in labelled tokens; tokens with a z of
+    `min_z` or more keep scores of their own. These are tokens of the bounded sample.
     """
     by = rows.mapInArrow(_count_by_label, "term string, label int, n long").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("y0"))
     by = by.join(term_counts(corpus, F.col(f"`{text_col}`"), keys), "term", "left").withColumn("n", F.greatest(F.coalesce("n", F.lit(0)), F.col("y1") + F.col("y0")))
@@ -148,7 +149,7 @@ def train(rows: DataFrame, corpus: DataFrame, *, text_col: str = "text", strengt
     odds = lambda y, n: F.log((y + a) / (n + weight - y - a))
     delta = odds(F.col("y1"), F.lit(n1)) - odds(F.col("y0"), F.lit(n0))
     z = delta / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
-    top = by.select("term", "y1", "y0", delta.alias("delta"), z.alias("z")).filter(F.abs("z") >= min_z).orderBy(F.abs("z").desc(), "term").limit(max_tokens).toArrow().to_pydict()
+    top = by.select("term", "y1", "y0", delta.alias("delta"), z.alias("z")).filter(F.abs("z") >= min_z).orderBy("term").toArrow().to_pydict()
     q, p = (sum(top["y1"]) + 1) / (n1 + 2), (sum(top["y0"]) + 1) / (n0 + 2)
     # All other tokens share one score, which is below 0 so that the scan of a clean text drifts down.
     rest = min(-0.02, math.log((1 - q) / (1 - p)))
