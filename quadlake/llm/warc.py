@@ -107,26 +107,28 @@ def _plain(content: bytes) -> bytes:
 
 
 def parse(data: bytes) -> Iterator[tuple]:
-    """The records of one archive, as RECORD_SCHEMA has them. A record cut off by the archive's end is left out."""
+    """The records of one archive, as RECORD_SCHEMA has them. A record cut off by the archive's end has the fields that are there and no
+    block."""
     at, end = 0, len(data)
     while True:
         while data[at : at + 2] == b"\r\n":
             at += 2
         stop = data.find(b"\r\n\r\n", at)
-        if at >= end or stop < 0:
+        if at >= end:
             return
+        cut = stop < 0
+        stop = end if cut else stop
         head: dict[str, str] = {}
         for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             head[name.strip().lower()] = value.strip()
         length = int(head.get("content-length") or 0)
         block = data[stop + 4 : stop + 4 + length]
-        if len(block) < length:
-            return
+        cut = cut or len(block) < length
         number = lambda x: int(x) if x and x.isdigit() else None
         digest = head.get("warc-payload-digest")
         yield (head.get("warc-record-id"), head.get("warc-type"), head.get("x-record-key"), head.get("warc-target-uri"), digest and digest.removeprefix("sha1:"), head.get("x-refers-to-key"),
-               number(head.get("warc-segment-number")), head.get("warc-segment-origin-id"), number(head.get("warc-segment-total-length")), block)
+               number(head.get("warc-segment-number")), head.get("warc-segment-origin-id"), number(head.get("warc-segment-total-length")), None if cut else block)
         at = stop + 4 + length
 
 
@@ -142,7 +144,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             rows, held = [], 0
             for row in parse(_plain(content.as_py())):
                 rows.append(row)
-                held += len(row[-1])
+                held += len(row[-1] or b"")
                 if held >= FLUSH_BYTES:
                     yield _arrow(rows)
                     rows, held = [], 0
@@ -192,12 +194,12 @@ def reassemble(records: DataFrame) -> DataFrame:
 
     Segments are grouped by the identifier of their origin, put in the order of their numbers and joined; the length must be
     the total that the last segment states, and numbers must run from 1 without gap or conflict. Status is `ok`, `no
-    first segment`, `missing segment`, `conflicting segments`, `wrong length`, or what the chunked framing lacks; the
+    first segment`, `missing segment`, `conflicting segments`, `truncated` (a record that the end of its archive cuts off), `wrong length`, or what the chunked framing lacks; the
     payload is null unless it is `ok`. Byte-equal repetitions of a segment count once. Whole records bypass the grouping.
     A group is one message, which must fit in memory in any case.
     """
     columns = ["record_id", "warc_type", "key", "target_uri", "digest", "refers_key"]
-    whole = records.filter("segment IS NULL AND warc_type IN ('response', 'revisit')").select(*columns, F.lit("ok").alias("status"), F.col("block").alias("message"))
+    whole = records.filter("segment IS NULL AND warc_type IN ('response', 'revisit')").select(*columns, F.when(F.col("block").isNull(), "truncated").otherwise("ok").alias("status"), F.col("block").alias("message"))
     seg = records.filter("segment IS NOT NULL").withColumn("origin", F.coalesce("origin_id", "record_id"))
     first = F.col("segment") == 1
     parts = seg.groupBy("origin").agg(
@@ -211,6 +213,7 @@ def reassemble(records: DataFrame) -> DataFrame:
         F.when(numbers[0] != 1, "no first segment")
         .when(F.size(F.array_distinct(numbers)) < n, "conflicting segments")
         .when((numbers[n - 1] != n) | F.col("total").isNull(), "missing segment")
+        .when(F.exists("parts", lambda x: x["block"].isNull()), "truncated")
         .when(F.octet_length(joined) != F.col("total"), "wrong length")
         .otherwise("ok")
     )

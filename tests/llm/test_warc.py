@@ -58,7 +58,11 @@ def test_reassembly(spark, parts, total, status):
     assert r["status"] == status and (bytes(r["payload"]) == b"abc" if status == "ok" else r["payload"] is None)
 
 
-def test_parser_stops_at_a_cut():
+def test_parser_marks_a_cut(spark):
     record = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
-    assert [r[-1] for r in warc.parse(record * 2 + record[:-7])] == [b"hello"] * 2
+    assert [r[-1] for r in warc.parse(record * 2 + record[:-7])] == [b"hello", b"hello", None]
+    assert [(r[1], r[-1]) for r in warc.parse(record + record[:35])] == [("response", b"hello"), ("response", None)]
+    rows = [("r1", "response", "1", None, None, None, None, None, None, None), ("r2", "response", "2", None, None, None, 1, None, None, bytearray(BODY[:20])), ("r3", "continuation", None, None, None, None, 2, "r2", len(BODY), None)]
+    got = warc.reassemble(spark.createDataFrame(rows, warc.RECORD_SCHEMA)).collect()
+    assert {(r["key"], r["status"], r["payload"]) for r in got} == {("1", "truncated", None), ("2", "truncated", None)}
     assert warc.dechunk(b"HTTP/1.1 200 OK\r\n\r\nplain") == (b"plain", "ok")
