@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A term: two letters or more of any script, lower-cased.
 TERM = re.compile(r"[^\W\d_]{2,}")
 #: Terms a task counts before it hands its counts on; the sums do not depend on it.
-FLUSH = 400_000
+FLUSH = 100_000
 
 
 def terms(text: str) -> list[str]:

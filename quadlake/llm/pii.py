@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -102,9 +104,9 @@ def secrets(text: str, *, min_bits: float = 60.0) -> list[tuple[str, int, int]]:
     return out
 
 
-def tokens(text: str) -> list[tuple[str, int, int]]:
+def tokens(text: str) -> Iterator[tuple[str, int, int]]:
     """Terms, lower-cased one by one, with their places. Counting, estimating and hiding all see terms as this function does."""
-    return [(m[0].lower(), *m.span()) for m in TERM.finditer(text)]
+    return ((m[0].lower(), *m.span()) for m in TERM.finditer(text))
 
 
 def _keys(text: str) -> set[str]:
@@ -114,18 +116,17 @@ def _keys(text: str) -> set[str]:
 def protected(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and secrets that no base span overlaps."""
     base = detect(text)
-    return base, outside(secrets(text), _merged(base))
+    return base, list(outside(secrets(text), _merged(base)))
 
 
-def outside(words: list[tuple[str, int, int]], spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+def outside(words: Iterable[tuple[str, int, int]], spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
     """The words that no span overlaps; both stand in order of place."""
-    out, i = [], 0
+    i = 0
     for w in words:
         while i < len(spans) and spans[i][2] <= w[1]:
             i += 1
         if i == len(spans) or spans[i][1] >= w[2]:
-            out.append(w)
-    return out
+            yield w
 
 
 def _merged(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -144,19 +145,17 @@ def near(text: str, spans: list[tuple[str, int, int]], reach: int) -> dict[str,
     if not spans:
         return {}
     merged = _merged(spans)
-    words = outside(tokens(text), merged)
+    starts, ends = array("q"), array("q")  # a long text's terms as numbers, not as strings
+    for _, a, b in outside(tokens(text), merged):
+        starts.append(a)
+        ends.append(b)
     found: dict[str, set[str]] = {}
-    j = 0
     for k, a, b in sorted(spans, key=lambda s: s[1]):
-        while j < len(words) and words[j][1] < a:
-            j += 1
-        after = j
-        while after < len(words) and words[after][1] < b:
-            after += 1
+        at, after = bisect_left(starts, a), bisect_left(starts, b)
         name = NOT_DIGIT.sub("", text[a:b]) if k in ("card", "phone") else text[a:b].lower()
         terms = found.setdefault(f"{k}:{name}", set())
-        terms.update(w for w, _, _ in words[max(0, j - reach) : j])
-        terms.update(w for w, _, _ in words[after : after + reach])
+        for i in (*range(max(0, at - reach), at), *range(after, min(after + reach, len(starts)))):
+            terms.add(text[starts[i] : ends[i]].lower())
     return found
 
 
