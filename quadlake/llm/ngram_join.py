@@ -35,7 +35,9 @@ CHUNK_WEIGHT, CHUNK_ROWS, HUBS = 400_000, 512, 32
 ASKED, MOST_PARTS = 1000, 8
 #: What all tasks are told of frequencies: a bit for each of 2**SLOTS slots of repeated shingles, and the counts of the FREQUENT
 #: most frequent ones. Beyond these bounds the order is coarser and more candidates need verification; results are the same.
-SLOTS, FREQUENT = 28, 1 << 20
+SLOTS, FREQUENT = 29, 1 << 20
+#: Times the shingles sent out that should come before all marked ones, as texts differ.
+SPARE = 1.25
 #: Shingles that a task of the counting pass holds.
 COUNTED = 1 << 20
 #: Members whose texts are looked up by broadcasting their ids; more are joined by shuffle.
@@ -114,12 +116,14 @@ def _spectrum(width: int, k: int):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by bucket: the values that occur more than once and the powers of two of their counts."""
+    """From rows sorted by bucket: the values that occur more than once and the powers of two of their counts; how many values have each
+    power, those that occur once included."""
 
     def out(bucket: int, parts: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(parts), return_counts=True)
-        values, levels = values[counts > 1], np.floor(np.log2(counts[counts > 1])).astype(np.uint8)
+        levels = np.floor(np.log2(counts)).astype(np.uint8)
         each = np.bincount(levels, minlength=64)[:64]
+        values, levels = values[counts > 1], levels[counts > 1]
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([values.astype("<u4").tobytes()], pa.binary()), pa.array([levels.tobytes()], pa.binary()), pa.array([each.tolist()], pa.list_(pa.int64()))], names=["bucket", "values", "levels", "each"])
 
     at, parts = None, []
@@ -163,24 +167,43 @@ def _chosen(k: int, least: int):
     return look
 
 
+def least_level(each: list[int], slots: int, share: float) -> int:
+    """The level from which on shingles are marked, by the number of shingles of each level, so that the fewest of the `share` of a text
+    that comes first are repeated. With all repeated ones marked, whatever is unmarked occurs once; that holds however full the slots
+    are, as long as enough stay unmarked. Only where they don't is it better to mark the frequent ones alone."""
+    held = [n * 1.5 * 2**i if i else n for i, n in enumerate(each)]
+    every = max(1, sum(held))
+    need = min(every, SPARE * share * every)
+
+    def repeated(least: int) -> float:
+        """The share of repeated ones among the first."""
+        kept = math.exp(-sum(each[least:]) / slots)
+        clear, bad = kept * sum(held[:least]), kept * sum(held[1:least])
+        if clear >= need:
+            return bad / max(1, clear)
+        return (bad + (need - clear) * (sum(held[1:]) - bad) / (every - clear)) / need
+
+    return min(range(1, 64), key=repeated)
+
+
 class Order:
     """How late a shingle comes: 0 for one held once, as far as is known, else about the power of two of its count. It is the same
     function in all tasks, which is all that the results depend on; its size is bounded."""
 
-    def __init__(self, docs: DataFrame, width: int, shingles: int):
+    def __init__(self, docs: DataFrame, width: int, shingles: int, t: float):
         k = self.k = min(16, max(6, math.ceil(math.log2(max(1, shingles) / 500_000))))
         # Rows are whole blobs: a task has one bucket's at a time.
         spectrum = docs.select("text").mapInArrow(_spectrum(width, k), "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
         found = stash(spectrum.mapInArrow(_repeated, "bucket int, values binary, levels binary, each array<long>"), "repeated")
         sums = found.agg(*[F.coalesce(F.sum(F.col("each")[i]), F.lit(0)) for i in range(64)]).first()
         above = [sum(sums[i:]) for i in range(64)]
-        least = next(i for i in range(1, 64) if above[i] * 4 <= 1 << SLOTS)
+        least = least_level(sums, 1 << SLOTS, 1 - t)
         self.m = max(k + 3, min(SLOTS, math.ceil(math.log2(16 * max(1, above[least])))))
         size = 1 << (self.m - 3 - k)
         slots = bytearray(size << k)
         for r in found.select("bucket", "values", "levels").mapInArrow(_bits(k, self.m, least), "bucket int, bits binary").toLocalIterator():
             slots[r["bucket"] * size : (r["bucket"] + 1) * size] = r["bits"]
-        self.slots = np.frombuffer(bytes(slots), np.uint8)
+        self.slots = np.frombuffer(slots, np.uint8)
         top = next(i for i in range(2, 65) if i == 64 or above[i] <= FREQUENT)
         told = found.select("bucket", "values", "levels").mapInArrow(_chosen(k, top), "key long, level int").toArrow()  # FREQUENT rows at most
         keys = np.asarray(told.column("key").combine_chunks() if told.num_rows else pa.array([], pa.int64())).view(np.uint64)
@@ -410,7 +433,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     text = F.col(f"`{text_col}`").cast("string")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
     rows = stash(docs.withColumn("h", F.xxhash64("text")).mapInArrow(_survey(width), "id long, h long, n long, d1 long, d2 long"), "survey")
-    order = df.sparkSession.sparkContext.broadcast(Order(docs, width, rows.agg(F.sum("n")).first()[0] or 0))
+    order = df.sparkSession.sparkContext.broadcast(Order(docs, width, rows.agg(F.sum("n")).first()[0] or 0, t))
     postings = lambda *only: docs.filter("id IS NOT NULL").select("text").mapInArrow(_postings(width, t, order, *only), "key long, node long, lead long")
 
     runs = postings().repartition("key").sortWithinPartitions("key", "node")

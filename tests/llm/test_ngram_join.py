@@ -129,3 +129,25 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 900), (900, 7), (3, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {5: 5, 7: 5, 900: 5}
+
+
+def test_few_texts_meet_where_the_slots_fill_up(spark, monkeypatch):
+    """A third of each text is also in one other: with a quarter of the slots taken, texts still meet by their other shingles alone."""
+    rng = random.Random(23)
+    unique = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for _ in range(150):
+        passage = unique(24)
+        rows += [(len(rows) + k, " ".join(unique(20) + passage + unique(20))) for k in range(2)]
+    met = []
+    monkeypatch.setattr(ngram_join, "components", lambda edges: (met.append(edges.count()), components(edges))[1])
+    monkeypatch.setattr(ngram_join, "SLOTS", 13)
+    assert run(spark, rows) == {i: (len(shingles(t)), i) for i, t in rows}
+    assert met[0] <= 15
+
+
+def test_marked_level():
+    """Of the shingles that come first, as few as possible are repeated; only where too few stay unmarked, the rarest repeated ones are not marked."""
+    each = [90_000, 10_000, 900, *[0] * 61]
+    assert [ngram_join.least_level(each, slots, 0.25) for slots in (1 << 20, 1 << 16, 1 << 15, 1 << 11)] == [1, 1, 1, 2]
+    assert ngram_join.least_level([0] * 64, 1 << 12, 0.25) == 1
