@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from quadlake.llm import ngram_join
 from quadlake.llm.queries import QUERIES, SQL
 from tests.llm.test_mixing_sharding import brute_shards, brute_targets
 from tests.llm.test_ngram_join import brute
@@ -98,3 +99,20 @@ def test_queries_return_whole_tables(spark, name):
         rel, cols = con.sql(SQL[name]), sorted(df.columns)
         text = lambda rows, names: sorted(str([r[names.index(c)] for c in cols]) for r in rows)
         assert text([tuple(r) for r in df.collect()], df.columns) == text(rel.fetchall(), list(rel.columns))
+
+
+def test_few_texts_meet_in_stage_2_where_the_slots_fill_up(spark, monkeypatch):
+    """A third of each text is also in one other, and a quarter of the slots are taken: all stay, and few meet on the way."""
+    rng = random.Random(29)
+    unique = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(150):
+        passage = unique(24)
+        texts += [" ".join(unique(20) + passage + unique(20)) for _ in range(2)]
+    met, components = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: (met.append(edges.count()), components(edges))[1])
+    monkeypatch.setattr(ngram_join, "SLOTS", 13)
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(300))
+    assert met[0] <= 15
