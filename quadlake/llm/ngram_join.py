@@ -9,7 +9,8 @@
    that are connected already are skipped.
 4. Blocks over a limit are cut into chunks that share some of their members; afterwards all members outside the block's
    largest component are searched in every chunk. Where these are many, the block hangs together by chains of shared passages rather
-   than by likeness: its members then meet by each shared shingle instead, and sets are compared only with those that hold it.
+   than by likeness: its members then meet by each shared shingle instead, and sets are compared only with those that hold it. So do
+   they where the search of all chunks would send out too many texts.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ GROUPS, FANOUT = 256, 16
 CHUNK_WEIGHT, CHUNK_ROWS, HUBS = 400_000, 512, 32
 #: Members outside the largest component that are searched together, and so many times more that are searched in all chunks.
 ASKED, MOST_PARTS = 1000, 8
+#: Texts that the search of all chunks may send out, as a share of the table's rows, and so many in any case.
+SENT_SHARE, SENT_LEAST = 0.25, 10_000
 #: What all tasks are told of frequencies: a bit for each of 2**SLOTS slots of repeated shingles, and the counts of the FREQUENT
 #: most frequent ones. Beyond these bounds the order is coarser and more candidates need verification; results are the same.
 SLOTS, FREQUENT = 29, 1 << 20
@@ -40,7 +43,7 @@ SLOTS, FREQUENT = 29, 1 << 20
 SPARE = 1.25
 #: Shingles that a task of the counting pass holds.
 COUNTED = 1 << 20
-#: Members whose texts are looked up by broadcasting their ids; more are joined by shuffle.
+#: Members whose texts are looked up by broadcasting their ids; more are joined by shuffle, without most of the texts of no member.
 BROADCAST_ROWS = 500_000
 FLUSH_ROWS = 1 << 18
 
@@ -391,11 +394,25 @@ def _join_chunks(width: int, t: float):
     return look
 
 
+def _wanted(which):
+    """id, text of the rows whose seed passes a filter."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["id", "text"]).take(pa.array(which.value.passing(np.asarray(batch.column("seed")).view(np.uint64))))
+
+    return look
+
+
 def _search(texts: DataFrame, plan: DataFrame, width: int, t: float) -> DataFrame:
     """Runs the chunks of plan (key, rep, node, role, known) on the texts (id, text) of their members."""
     plan = stash(plan, "plan")
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
+    else:
+        reps = stash(plan.select(F.xxhash64("rep").alias("seed")).distinct(), "reps")
+        which = texts.sparkSession.sparkContext.broadcast(Filter(reps, reps.count()))
+        texts = texts.select("id", "text", F.xxhash64("id").alias("seed")).mapInArrow(_wanted(which), "id long, text string")
     rows = texts.join(plan, F.col("rep") == F.col("id")).select("key", "node", "role", "known", "text")
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_join_chunks(width, t), "a long, b long")
 
@@ -406,15 +423,31 @@ def _chunks() -> Column:
 
 def _by_shingle(postings: DataFrame, members: DataFrame) -> DataFrame:
     """A plan by which members (node, rep, known, n) meet under each shingle that some hold who are not connected yet. Shingles with the
-    same holders count once; holders over a chunk meet chunk by chunk, each pair of chunks under a key of its own."""
+    same holders count once. Holders over a chunk meet chunk by chunk, each pair of chunks under a key of its own, or, if that sends
+    out fewer texts, those outside the holders' largest component are searched in every chunk."""
     held = stash(postings.select(F.col("key").alias("token"), "node").join(members, "node").distinct(), "held")
     mark = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "node"))
     groups = held.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"), mark(1).alias("m1"), mark(2).alias("m2"), F.min("known").alias("lo"), F.max("known").alias("hi")).filter("lo <> hi")
     groups = stash(groups.groupBy("k", "w", "m1", "m2").agg(F.min("token").alias("token")).select("token", _chunks().alias("chunks")), "groups")
+    # Of each group over a chunk: its largest component, and the parts that all others are cut into.
+    each = held.join(groups.filter("chunks > 1"), "token").groupBy("token", "chunks", "known").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    each = each.groupBy("token", "chunks").agg(F.sum("k").alias("all"), F.max_by(F.struct("known", "k", "w"), F.struct("k", "known")).alias("major"), F.sum("w").alias("w"))
+    k, w = F.col("all") - F.col("major.k"), F.col("w") - F.col("major.w")
+    parts = F.greatest(F.ceil(w / CHUNK_WEIGHT), F.ceil(k / ASKED)).cast("int")
+    asym = each.withColumn("parts", parts).filter(F.col("all") * F.col("parts") + k * F.col("chunks") < F.col("all") * F.col("chunks"))
+    asym = stash(asym.select("token", F.col("major.known").alias("major"), "parts"), "majors")
+
+    groups = groups.join(asym, "token", "left")
     own = held.join(groups, "token").withColumn("x", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    own = own.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pairs = own.filter("parts IS NULL").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     role = F.when(F.col("x") == F.col("y"), "both").when(F.col("x") < F.col("y"), "query").otherwise("member")
-    return own.select(F.xxhash64("token", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "rep", "node", role.alias("role"), "known")
+    pairs = pairs.select(F.xxhash64("token", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "rep", "node", role.alias("role"), "known")
+    own = own.filter("parts IS NOT NULL")
+    key = F.xxhash64("token", "x", "y", F.lit("part")).alias("key")
+    there = own.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(key, "rep", "node", F.lit("member").alias("role"), "known")
+    asked = own.filter(F.col("known") != F.col("major")).withColumn("y", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("parts")).cast("int"))
+    asked = asked.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(key, "rep", "node", F.lit("query").alias("role"), "known")
+    return pairs.unionByName(there).unionByName(asked)
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.75) -> DataFrame:
@@ -460,15 +493,20 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         labels = stash(components(found), "labels")
         known = stash(large.join(labels, "node", "left").select("block", "chunks", "chunk", "rep", "node", "n", F.coalesce("component", "node").alias("known")), "known")
         major = stash(known.groupBy("block", "known").count().groupBy("block").agg(F.max_by("known", F.struct("count", "known")).alias("major")), "major")
-        minors = known.join(major, "block").filter(F.col("known") != F.col("major"))
+        outside = F.col("known") != F.col("major")
+        minors = known.join(major, "block").filter(outside)
         # Queries are cut into parts of their own, so that a group never holds more than a chunk and a part.
-        share = stash(minors.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("parts")), "share")
-        few = share.filter(F.col("parts") <= MOST_PARTS)
+        share = known.join(major, "block").groupBy("block", "chunks").agg(F.count(F.lit(1)).alias("k"), F.count_if(outside).alias("q")).filter("q > 0")
+        share = share.withColumn("parts", F.ceil(F.col("q") / ASKED).cast("int")).withColumn("sent", F.col("q") * F.col("chunks") + F.col("k") * F.col("parts"))
+        share = stash(share.select("block", "parts", "sent"), "share")
+        sent = share.filter(F.col("parts") <= MOST_PARTS).agg(F.sum("sent")).first()[0] or 0
+        most = MOST_PARTS if sent <= max(SENT_LEAST, SENT_SHARE * rows.count()) else 0
+        few = share.filter(F.col("parts") <= most).select("block", "parts")
         minors = minors.join(few, "block").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("parts")).cast("int"))
         asked = minors.select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "part", "rep", "node", "known")
         there = known.join(few, "block").select("block", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "node", "known")
         plan = asked.withColumn("role", F.lit("query")).unionByName(there.withColumn("role", F.lit("member"))).select(key("block", "chunk", "part").alias("key"), "rep", "node", "role", "known")
-        loose = known.join(share.filter(F.col("parts") > MOST_PARTS), "block", "left_semi").select("node", "rep", "known", "n")
+        loose = known.join(share.filter(F.col("parts") > most), "block", "left_semi").select("node", "rep", "known", "n")
         loose = stash(loose, "loose")
         if k := loose.count():
             # Only the shingles of these members are sent out again.

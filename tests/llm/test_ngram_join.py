@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quadlake.llm import ngram_join
@@ -151,3 +152,41 @@ def test_marked_level():
     each = [90_000, 10_000, 900, *[0] * 61]
     assert [ngram_join.least_level(each, slots, 0.25) for slots in (1 << 20, 1 << 16, 1 << 15, 1 << 11)] == [1, 1, 1, 2]
     assert ngram_join.least_level([0] * 64, 1 << 12, 0.25) == 1
+
+
+@pytest.mark.parametrize("rows_a_chunk", [512, 6])
+def test_members_outside_the_largest_component_are_searched_under_hot_shingles(spark, monkeypatch, rows_a_chunk):
+    """Of the holders of a hot shingle nearly all are connected already: the others are searched in its chunks, and no link is lost."""
+    for name, value in {"CHUNK_WEIGHT": 600, "CHUNK_ROWS": rows_a_chunk, "HUBS": 1, "MOST_PARTS": 0}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    searched, stash = [], ngram_join.stash
+    monkeypatch.setattr(ngram_join, "stash", lambda df, name: (out := stash(df, name), name == "majors" and searched.append(out.count()))[0])
+    rows = corpus(random.Random(15))
+    assert run(spark, rows) == brute(rows)
+    assert sum(searched) > 0
+
+
+def test_only_texts_of_members_are_shuffled(spark, monkeypatch):
+    """A plan over BROADCAST_ROWS is joined by shuffle, but not with all texts of the table."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    rng = random.Random(16)
+    rows = [(i, " ".join(f"{rng.randrange(16**40):x}" for _ in range(200))) for i in range(400)]
+    rows += [(1000, rows[7][1] + " x"), (None, rows[9][1])]
+    node = {i: ngram_join.digest(ngram_join.shingle_sets(pa.array([t]), 5)[0])[0] for i, t in rows}
+    plan = [(1, i, node[i], "both", node[i]) for i in (7, 8, 1000)]
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(4).localCheckpoint()
+    sc = spark.sparkContext
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before, small = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ngram_join._search(texts, spark.createDataFrame(plan, "key long, rep long, node long, role string, known long"), 5, 0.75).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert [{r["a"], r["b"]} for r in found] == [{node[7], node[1000]}]
+    assert written() - before < sum(len(t) for _, t in rows) / 10

@@ -116,3 +116,18 @@ def test_few_texts_meet_in_stage_2_where_the_slots_fill_up(spark, monkeypatch):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(300))
     assert met[0] <= 15
+
+
+def test_stage_2_sends_out_each_text_of_a_loose_block_few_times(spark, monkeypatch):
+    """A chain of texts that share half of themselves with the next one is one block of many chunks, none of whose members link."""
+    for name, value in {"CHUNK_ROWS": 10, "HUBS": 1, "ASKED": 60}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(30)
+    passages = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(44)) for _ in range(401)]
+    rows = [(i, f"{a} {b}") for i, (a, b) in enumerate(zip(passages[:-1], passages[1:], strict=True))]
+    rows.append((400, rows[200][1] + " x"))
+    sent, stash = [], ngram_join.stash
+    monkeypatch.setattr(ngram_join, "stash", lambda df, name: (out := stash(df, name), name == "plan" and sent.append(out.count()))[0])
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(400))
+    assert len(sent) == 2 and max(sent) <= 4 * 400
