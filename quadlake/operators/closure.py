@@ -1,7 +1,8 @@
 """Recursive operators: closures, ancestry, components, rule-driven traversal.
 
-Fixpoints are driver loops over tables in the shared folder. `closure` doubles path lengths in each round, so a chain of n links
-takes log2(n) rounds; `reach` walks from seeds and only joins what a round has added. Both end on cycles.
+Fixpoints are driver loops over tables in the shared folder. `closure` ranks the nodes of chains and pairs them as they are read; other
+graphs double path lengths in each round, so n links take log2(n) rounds. `reach` walks from seeds and only joins what a round has
+added. Both end on cycles.
 """
 
 from __future__ import annotations
@@ -10,19 +11,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadlake._io import materialise
+from quadlake.operators import _chains
+
+#: Nodes of a chain that are paired at a time.
+BLOCK = 256
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """a, b, depth: every b reachable from a over one link or more, with the fewest links. edges: a, b."""
-    paths = materialise(edges.select("a", "b").distinct().withColumn("depth", F.lit(1)))
-    mark = paths.agg(F.count(F.lit(1)), F.sum("depth")).first()
-    while True:
-        longer = paths.select("a", F.col("b").alias("m"), F.col("depth").alias("d")).join(paths.select(F.col("a").alias("m"), "b", "depth"), "m")
-        paths = materialise(paths.union(longer.select("a", "b", F.col("d") + F.col("depth"))).groupBy("a", "b").agg(F.min("depth").alias("depth")))
-        now = paths.agg(F.count(F.lit(1)), F.sum("depth")).first()
-        if now == mark:
-            return paths
-        mark = now
+    edges = edges.select("a", "b")
+    if edges.schema["a"].dataType != edges.schema["b"].dataType:
+        return _doubled(edges)
+    runs = _chains.contracted(edges)
+    if not runs.filter("a IS NULL OR b IS NULL").isEmpty() or not _chains.simple(runs):
+        return _doubled(runs.select("a", "b"))
+    places = _chains.places(runs)
+    blocks = materialise(_blocks(places))
+    rings = places.filter("head IS NULL").select("a", "b")
+    return _chain_pairs(blocks) if rings.isEmpty() else _chain_pairs(blocks).union(_doubled(rings))
+
+
+def _doubled(edges: DataFrame) -> DataFrame:
+    """By rounds: paths of h links at most, and those of h links continued by them, give all up to 2 h. Each pair is made from the nodes
+    that are h links away only, and pairs that are known are not written again."""
+    known = new = materialise(edges.distinct().withColumn("depth", F.lit(1)))
+    h = 1
+    while not new.filter(F.col("depth") == h).isEmpty():
+        far = new.filter(F.col("depth") == h).select("a", F.col("b").alias("m"))
+        longer = far.join(known.select(F.col("a").alias("m"), "b", "depth"), "m").groupBy("a", "b").agg((F.min("depth") + h).alias("depth"))
+        new = materialise(longer.join(known.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "depth"))
+        known, h = known.union(new), 2 * h
+    return known
+
+
+def _blocks(places: DataFrame) -> DataFrame:
+    """head, k, nodes: the nodes of a chain from place k * BLOCK on, in order."""
+    ends = places.filter("head IS NOT NULL")
+    node = ends.select("head", "pos", F.col("a").alias("node"))
+    # The last node of a chain has no link out.
+    w = ends.groupBy("head").agg(F.max_by(F.struct((F.col("pos") + 1).alias("pos"), F.col("b").alias("node")), "pos").alias("x"))
+    node = node.union(w.select("head", "x.pos", "x.node"))
+    cut = node.groupBy("head", F.floor(F.col("pos") / BLOCK).alias("k")).agg(F.sort_array(F.collect_list(F.struct("pos", "node"))).alias("nodes"))
+    return cut.select("head", "k", F.col("nodes.node").alias("nodes"))
+
+
+def _chain_pairs(blocks: DataFrame) -> DataFrame:
+    """All pairs of a chain, block by block; only blocks are shuffled, once for each later block of their chain."""
+    at = blocks.select("head", "k", "nodes", F.posexplode("nodes").alias("i", "a"))
+    own = at.select("a", "i", F.posexplode(F.slice("nodes", F.col("i") + 2, BLOCK)).alias("j", "b")).select("a", "b", (F.col("j") + 1).alias("depth"))
+    count = blocks.groupBy("head").agg(F.max("k").alias("most")).filter("most > 0")
+    to = blocks.join(count, "head").filter("k < most").select("head", F.col("k").alias("from"), F.col("nodes").alias("xs"), F.explode(F.sequence(F.col("k") + 1, F.col("most"))).alias("k"))
+    two = to.join(blocks, ["head", "k"]).select("from", "k", "nodes", F.posexplode("xs").alias("i", "a"))
+    two = two.select("from", "k", "i", "a", F.posexplode("nodes").alias("j", "b"))
+    return own.union(two.select("a", "b", ((F.col("k") - F.col("from")) * BLOCK + F.col("j") - F.col("i")).cast("int").alias("depth")))
 
 
 def reach(edges: DataFrame, seeds: DataFrame, *, max_rounds: int | None = None) -> DataFrame:
