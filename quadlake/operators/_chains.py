@@ -22,8 +22,9 @@ def _runs(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     at = np.arange(n)
     linked = after >= 0
     at[after[linked]] = np.flatnonzero(linked)
-    off = (at != np.arange(n)).astype(np.int64)
-    inner = off.astype(bool)
+    inner = np.zeros(n, bool)
+    inner[after[linked]] = True
+    off = inner.astype(np.int64)
     for _ in range(n.bit_length() + 1):
         if not inner[at].any():
             break
@@ -64,22 +65,29 @@ def simple(links: DataFrame) -> bool:
     return ends.repartition("h").groupBy("h").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).filter("out > 1 OR into > 1").isEmpty()
 
 
-def places(runs: DataFrame) -> DataFrame:
-    """head and pos of each link of contracted links that are simple: its chain's first node and the links before it. head is null on cycles.
+def places(runs: DataFrame) -> tuple[DataFrame, bool]:
+    """Contracted links that are simple with head and pos, their chain's first node and the links before it, and a row with b null for each
+    last node that has no link out (further columns are null there); whether there are cycles, whose links have no head.
 
     Runs that follow another one jump back along runs, twice as far in each round; links themselves are not joined, and are shuffled only
     where the runs that follow others are many."""
     by = [c for c in ("graph_iri",) if c in runs.columns]
+    extra = [c for c in runs.columns if c not in {*by, "a", "b", "start", "off", "last"}]
     exits = materialise(runs.filter("last AND b IS NOT NULL").select(*by, F.col("b").alias("start"), F.col("start").alias("at"), (F.col("off") + 1).alias("pos")))
-    back = materialise(exits.join(runs.filter("off = 0").select(*by, F.col("a").alias("start")), [*by, "start"]).withColumn("open", F.lit(True)))
+    starts = runs.filter("off = 0").select(*by, F.col("a").alias("start"), F.lit(True).alias("linked")).join(exits.select(*by, "start"), [*by, "start"], "left_semi")
+    linked = materialise(exits.join(starts, [*by, "start"], "left"))
     discard(exits)
+    back = linked.filter("linked").select(*by, "start", "at", "pos", F.lit(True).alias("open"))
     rounds, n = 0, back.count()
-    while n and rounds <= n.bit_length():
+    while rounds <= n.bit_length() and not back.filter("open").isEmpty():
         more = back.select(*by, F.col("start").alias("at"), F.col("at").alias("further"), F.col("pos").alias("more"))
         now = materialise(back.join(more, [*by, "at"], "left").select(*by, "start", F.coalesce("further", "at").alias("at"), (F.col("pos") + F.coalesce("more", F.lit(0))).alias("pos"), F.col("further").isNotNull().alias("open")))
-        discard(back)
+        if rounds:
+            discard(back)
         back, rounds = now, rounds + 1
-        if back.filter("open").isEmpty():
-            break
+    rings = not back.filter("open").isEmpty()
+    ends = linked.filter("linked IS NULL").select(*by, F.col("start").alias("a"), F.col("at").alias("start"), F.col("pos").alias("off"))
     back = back.select(*by, "start", F.when(~F.col("open"), F.col("at")).alias("at"), "pos", F.lit(True).alias("moved"))
-    return runs.join(back, [*by, "start"], "left").select(*by, "a", "b", F.when(F.col("moved"), F.col("at")).otherwise(F.col("start")).alias("head"), (F.col("off") + F.coalesce("pos", F.lit(0))).alias("pos"))
+    placed = runs.drop("last").unionByName(ends, allowMissingColumns=True).join(back, [*by, "start"], "left")
+    head = F.when(F.col("moved"), F.col("at")).otherwise(F.col("start"))
+    return placed.select(*by, "a", "b", *extra, head.alias("head"), (F.col("off") + F.coalesce("pos", F.lit(0))).alias("pos")), rings

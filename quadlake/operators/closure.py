@@ -25,10 +25,9 @@ def closure(edges: DataFrame) -> DataFrame:
     runs = _chains.contracted(edges)
     if not runs.filter("a IS NULL OR b IS NULL").isEmpty() or not _chains.simple(runs):
         return _doubled(runs.select("a", "b"))
-    places = _chains.places(runs)
-    blocks = materialise(_blocks(places))
-    rings = places.filter("head IS NULL").select("a", "b")
-    return _chain_pairs(blocks) if rings.isEmpty() else _chain_pairs(blocks).union(_doubled(rings))
+    places, rings = _chains.places(runs)
+    found = _chain_pairs(materialise(_blocks(places)))
+    return found.union(_doubled(places.filter("head IS NULL").select("a", "b"))) if rings else found
 
 
 def _doubled(edges: DataFrame) -> DataFrame:
@@ -46,11 +45,7 @@ def _doubled(edges: DataFrame) -> DataFrame:
 
 def _blocks(places: DataFrame) -> DataFrame:
     """head, k, nodes: the nodes of a chain from place k * BLOCK on, in order."""
-    ends = places.filter("head IS NOT NULL")
-    node = ends.select("head", "pos", F.col("a").alias("node"))
-    # The last node of a chain has no link out.
-    w = ends.groupBy("head").agg(F.max_by(F.struct((F.col("pos") + 1).alias("pos"), F.col("b").alias("node")), "pos").alias("x"))
-    node = node.union(w.select("head", "x.pos", "x.node"))
+    node = places.filter("head IS NOT NULL").select("head", "pos", F.col("a").alias("node"))
     cut = node.groupBy("head", F.floor(F.col("pos") / BLOCK).alias("k")).agg(F.sort_array(F.collect_list(F.struct("pos", "node"))).alias("nodes"))
     return cut.select("head", "k", F.col("nodes.node").alias("nodes"))
 

@@ -7,40 +7,74 @@ from pyspark.sql import functions as F
 
 from quadlake._io import materialise
 from quadlake.model import COLUMNS, QUADS, RDF_FIRST, RDF_NIL, RDF_REST
+from quadlake.operators import _chains
 
 
-def list_positions(q: DataFrame) -> DataFrame:
-    """graph_iri, head, cell, pos of every list that ends in rdf:nil, by doubling jumps along rdf:rest: log2(length) rounds."""
+def _runs(q: DataFrame) -> DataFrame:
+    """The links of list cells; one that does not lead to a node is marked bare."""
+    rest = q.filter(F.col("p") == RDF_REST)
+    return _chains.contracted(rest.select("graph_iri", F.col("s_id").alias("a"), F.when(F.col("o_id") != RDF_NIL, F.col("o_id")).alias("b"), F.col("o_id").isNull().alias("bare")))
+
+
+def _chained(runs: DataFrame) -> tuple[DataFrame, bool]:
+    """graph_iri, cell, head, pos, bare of lists that share no cells (bare is null in a last cell without a link); whether some have no
+    end. head is null on those, and in a bare cell that no other leads to."""
+    places, rings = _chains.places(runs)
+    return places.select("graph_iri", F.col("a").alias("cell"), F.when(~(F.coalesce("bare", F.lit(False)) & (F.col("pos") == 0)), F.col("head")).alias("head"), "pos", "bare"), rings
+
+
+def _jumped(q: DataFrame) -> DataFrame:
+    """list_positions where lists share cells, by doubling jumps along rdf:rest: log2(length) rounds."""
     rest = q.filter((F.col("p") == RDF_REST) & F.col("o_id").isNotNull()).select("graph_iri", F.col("s_id").alias("cell"), F.col("o_id").alias("next"))
+    rest = materialise(rest)
     heads = rest.join(rest.filter(F.col("next") != RDF_NIL).select("graph_iri", F.col("next").alias("cell")), ["graph_iri", "cell"], "left_anti")
     # left[k]: how many cells stand before; jump from each cell back to the head.
     back = rest.filter(F.col("next") != RDF_NIL).select("graph_iri", F.col("next").alias("cell"), F.col("cell").alias("at"), F.lit(1).alias("pos"))
-    state = materialise(back.unionByName(heads.select("graph_iri", "cell", F.col("cell").alias("at"), F.lit(0).alias("pos"))))
-    while True:
+    moved = materialise(back.unionByName(heads.select("graph_iri", "cell", F.col("cell").alias("at"), F.lit(0).alias("pos"))).withColumn("moved", F.lit(True)))
+    rounds = moved.count().bit_length() + 1  # a list without an end would go on
+    while rounds and not moved.filter("moved").isEmpty():
+        state, rounds = moved.drop("moved"), rounds - 1
         nxt = state.select("graph_iri", F.col("cell").alias("at"), F.col("at").alias("further"), F.col("pos").alias("more"))
         moved = materialise(state.join(nxt, ["graph_iri", "at"], "left").select("graph_iri", "cell", F.coalesce("further", "at").alias("at"), (F.col("pos") + F.coalesce("more", F.lit(0))).alias("pos"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")))
-        if moved.filter("moved").isEmpty():
-            return heads.select("graph_iri", F.col("cell").alias("head")).join(moved.select("graph_iri", F.col("at").alias("head"), "cell", "pos"), ["graph_iri", "head"])
-        state = moved.drop("moved")
+    return heads.select("graph_iri", F.col("cell").alias("head")).join(moved.select("graph_iri", F.col("at").alias("head"), "cell", "pos"), ["graph_iri", "head"])
+
+
+def list_positions(q: DataFrame) -> DataFrame:
+    """graph_iri, head, cell, pos of every list that ends."""
+    runs = _runs(q)
+    return _chained(runs)[0].filter("head IS NOT NULL").select("graph_iri", "head", "cell", "pos") if _chains.simple(runs) else _jumped(q)
 
 
 def rebuild_lists(q: DataFrame) -> DataFrame:
     """q with list cells folded: a list of literals of one datatype becomes a literal_collection object, any other a
-    term_collection of members in order; statements of cells other than rdf:first and rdf:rest stay."""
-    places = list_positions(q)
-    first = q.filter(F.col("p") == RDF_FIRST).select("graph_iri", F.col("s_id").alias("cell"), "o_kind", "o_id", "o_lex", "o_dt", "o_lang")
+    term_collection of members in order; statements of cells other than rdf:first and rdf:rest stay, as do lists without an end."""
+    runs = _runs(q)
+    at, cell = ["graph_iri", "cell"], F.col("s_id").alias("cell")
+    first = q.filter(F.col("p") == RDF_FIRST).withColumn("cell", F.col("s_id"))
+    rest = q.filter(F.col("p") == RDF_REST).withColumn("cell", F.col("s_id"))
+    if _chains.simple(runs):
+        places, rings = _chained(runs)
+        placed = materialise(first.join(places.withColumn("endless", F.col("head").isNull() & ~F.col("bare")), at, "left"))
+        stay = placed.filter("bare IS NULL OR endless")
+        placed = placed.filter("head IS NOT NULL")
+        if rings:
+            stay = stay.select(*COLUMNS).unionByName(rest.join(places.filter("head IS NULL AND NOT bare"), at, "left_semi").select(*COLUMNS))
+    else:
+        places = materialise(_jumped(q))
+        placed = first.join(places, at)
+        endless = rest.filter("o_id IS NOT NULL").select("graph_iri", cell).join(places, at, "left_anti")
+        folded = rest.select("graph_iri", cell).join(endless, at, "left_anti")
+        stay = first.unionByName(rest).join(folded, at, "left_anti")
+    stay = stay.select(*COLUMNS).unionByName(q.filter(F.coalesce(~F.col("p").isin(RDF_FIRST, RDF_REST), F.lit(True))))
     item = F.struct(F.col("pos").cast("int").alias("pos"), F.col("o_kind").alias("kind"), F.col("o_id").alias("id"), F.col("o_lex").alias("lex"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang"))
-    lists = places.join(first, ["graph_iri", "cell"]).groupBy("graph_iri", "head").agg(F.sort_array(F.collect_list(item)).alias("items"), F.countDistinct(F.when(F.col("o_kind") == "literal", F.col("o_dt"))).alias("types"), F.count(F.when(F.col("o_kind") != "literal", 1)).alias("others"))
-    lists = lists.select("graph_iri", F.col("head").alias("o_id"), F.col("items").cast(QUADS["o_items"].dataType).alias("items"), ((F.col("types") == 1) & (F.col("others") == 0)).alias("plain"))
-    lists = materialise(lists)
-    cells = q.filter(F.col("p") == RDF_REST).select("graph_iri", F.col("s_id").alias("cell"))
-    chain = q.filter(F.col("p").isin(RDF_FIRST, RDF_REST)).join(cells.select("graph_iri", F.col("cell").alias("s_id")), ["graph_iri", "s_id"], "left_semi")
-    rest = q.join(chain.select("graph_iri", "s_id", "p"), ["graph_iri", "s_id", "p"], "left_anti")
-    joined = rest.drop("o_items").join(lists, ["graph_iri", "o_id"], "left").join(rest.select("graph_iri", "s_id", "p", "o_id", "o_lex", "o_items").filter("o_items IS NOT NULL").select("graph_iri", "s_id", "p", F.col("o_items").alias("had")), ["graph_iri", "s_id", "p"], "left")
+    dt = F.when(F.col("o_kind") == "literal", F.col("o_dt"))
+    lists = placed.groupBy("graph_iri", "head").agg(F.sort_array(F.collect_list(item)).alias("items"), F.min(dt).alias("least"), F.max(dt).alias("most"), F.count(F.when(F.col("o_kind") != "literal", 1)).alias("others"))
+    lists = lists.select("graph_iri", F.col("head").alias("o_id"), F.col("items").cast(QUADS["o_items"].dataType).alias("items"), (F.coalesce(F.col("least") == F.col("most"), F.lit(False)) & (F.col("others") == 0)).alias("plain"))
+    joined = stay.join(lists, ["graph_iri", "o_id"], "left")
     kind = F.when(F.col("o_id") == RDF_NIL, "term_collection").when(F.col("items").isNull(), F.col("o_kind")).when(F.col("plain"), "literal_collection").otherwise("term_collection")
     node = F.when(F.coalesce(F.col("plain"), F.lit(False)), F.lit(None).cast("string")).otherwise(F.col("o_id"))
     none = F.array().cast(QUADS["o_items"].dataType)
-    items = F.coalesce("items", "had", F.when(F.col("o_id") == RDF_NIL, none))
+    items = F.coalesce("items", "o_items", F.when(F.col("o_id") == RDF_NIL, none))
     kept = ["graph_iri", "s_kind", "s_id", "p", "o_lex", "o_dt", "o_lang", "o_num"]
     return joined.select(*kept, kind.alias("o_kind"), node.alias("o_id"), items.alias("o_items")).select(*COLUMNS)
 

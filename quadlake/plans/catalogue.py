@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quadlake._io import materialise
 from quadlake.functions import hashes, iri, literals
 from quadlake.functions.literals import XSD
 from quadlake.operators import closure as graphs
@@ -521,6 +522,7 @@ def list_rebuild(spark, sf):
     """Part lists written as rdf:first/rest chains and folded again."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     rows = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", F.row_number().over(w).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("n"))
+    rows = materialise(rows)
     cell = lambda pos: F.concat(F.lit("_:l"), F.col("l_orderkey").cast("string"), F.lit("_"), pos.cast("string"))
     nil = F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#nil")
     first = rows.select(cell(F.col("pos")).alias("s"), F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#first").alias("p"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("o"))
