@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadlake._io import discard, materialise
 from quadlake.functions.iri import fragment, is_uuid
 from quadlake.model import object_key
 from quadlake.operators.patterns import nodes, referenced_graphs
@@ -76,10 +77,25 @@ def graph_hash(q: DataFrame) -> DataFrame:
     return sums.select("graph_iri", F.sha2(F.concat_ws(":", *[F.col(f"h{i}").cast("string") for i in range(4)], F.col("n").cast("string")), 256).alias("ng_rev"))
 
 
+#: Rows that a task sorts at a time, so that tasks and not their memory grow with the input.
+SORTED = 200_000
+
+
 def canonical_nodes(q: DataFrame) -> DataFrame:
-    """Nodes of each graph with their place: named fragments, then UUID fragments, then blank nodes."""
+    """Nodes of each graph with their place: named fragments, then UUID fragments, then blank nodes.
+
+    Ranges of nodes are sorted apart and numbered from the counts of the ranges before them, so that no graph meets in one task."""
     rank = F.when(F.col("kind") != "iri", 2).when(is_uuid(fragment(F.col("node"))), 1).otherwise(0)
-    return nodes(q).withColumn("node_index", F.row_number().over(Window.partitionBy("graph_iri").orderBy(rank, "node")) - 1)
+    found = materialise(nodes(q).withColumn("__rank", rank))  # also read for the ranges' bounds
+    order = ["graph_iri", "__rank", "node", "kind"]
+    ranges = found.repartitionByRange(found.count() // SORTED + 1, *order).sortWithinPartitions(*order)
+    at = materialise(ranges.withColumn("__at", F.monotonically_increasing_id()).withColumn("__range", F.shiftright("__at", 33)))
+    discard(found)
+    sizes = materialise(at.groupBy("graph_iri", "__range").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("n")))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("graph_iri").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialise(sizes.select(F.col("graph_iri").alias("__graph"), F.col("__range").alias("__r"), (before - F.col("__first")).alias("__shift")))
+    placed = at.join(starts, F.col("graph_iri").eqNullSafe(F.col("__graph")) & (F.col("__range") == F.col("__r")))
+    return placed.select("graph_iri", "kind", "node", (F.col("__at") + F.col("__shift")).cast("int").alias("node_index"))
 
 
 def runs(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:

@@ -54,6 +54,19 @@ def test_patterns(spark):
     assert pairs(stats.canonical_nodes(q), "node", "node_index") == {("g#C", 0), ("g#a", 1), ("h#b", 2), ("b1", 3)}
 
 
+def test_canonical_nodes_are_sorted_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SORTED", 100, raising=False)
+    uuid = "00000000-0000-4000-8000-00000000000"
+    rows = [(f"{g}#n{i}", "p", "_:b") for g in "gh" for i in range(300)] + [(f"g#{uuid}{i}", "p", "_:b") for i in range(3)]
+    q = graph(spark, [r for r in rows if r[0][0] == "g"]).union(graph(spark, [r for r in rows if r[0][0] == "h"], "h"))
+    found = stats.canonical_nodes(q)
+    for g in "gh":
+        named = sorted(f"{g}#n{i}" for i in range(300)) + [f"g#{uuid}{i}" for i in range(3) if g == "g"] + ["b"]
+        assert [r["node"] for r in found.filter(F.col("graph_iri") == g).orderBy("node_index").collect()] == named
+        assert pairs(found.filter(F.col("graph_iri") == g), "node_index") == {(i,) for i in range(len(named))}
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_graph_hash_depends_on_the_set_only(spark):
     q = graph(spark, [("g#a", "g#p", "1", f"{XSD}integer"), ("g#b", "g#p", "g#a")])
     h = lambda d: stats.graph_hash(d).first()["ng_rev"]
