@@ -34,3 +34,15 @@ def discard(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Bytes by the planner's estimate that go to one partition, and estimates from which on it knows nothing, as over joins and local rows.
+PART, UNKNOWN = 8 << 20, 1 << 50
+
+
+def spread(df: DataFrame, *cols: str, part: int | None = None, most: int = 10_000) -> DataFrame:
+    """df dealt out by columns, to partitions that grow in number with the input. Adaptive execution merges partitions by their compressed
+    size, which is a small part of what statements take in memory; it does so only where the estimate is small or unknown."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = min(size // (part or PART), most) if size < UNKNOWN else 0
+    return df.repartition(n, *cols) if n > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*cols)

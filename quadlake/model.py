@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadlake._io import spread
+
 ITEM = T.StructType([T.StructField("pos", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("kind", "id", "lex", "dt", "lang")]])
 QUADS = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("graph_iri", "s_kind", "s_id", "p", "o_kind", "o_id", "o_lex", "o_dt", "o_lang")]
@@ -33,8 +35,8 @@ def object_key(prefix: str = "") -> Column:
 
 
 def as_set(q: DataFrame) -> DataFrame:
-    """A graph is a set of statements."""
-    return q.dropDuplicates(TRIPLE)
+    """A graph is a set of statements. They are dealt out first: combining them before finds little and holds all of a task in memory."""
+    return spread(q, *TRIPLE).dropDuplicates(TRIPLE)
 
 
 def graph(q: DataFrame, iri: str) -> DataFrame:

@@ -5,24 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.model import COLUMNS, as_set, object_key
+from quadlake._io import spread
+from quadlake.model import COLUMNS, TRIPLE, as_set
 
 
-def _keyed(q: DataFrame) -> DataFrame:
-    return as_set(q).withColumn("__key", object_key())
-
-
-STATEMENT = ["graph_iri", "s_kind", "s_id", "p", "__key"]
+def _held(**graphs: DataFrame) -> DataFrame:
+    """Each statement of any of the graphs once, with a column for each graph that says whether it holds it: one shuffle, no joins."""
+    rows = None
+    for name, q in graphs.items():
+        side = q.select(*COLUMNS, *[F.lit(n == name).alias(f"__{n}") for n in graphs])
+        rows = side if rows is None else rows.unionByName(side)
+    return spread(rows, *TRIPLE).groupBy(*TRIPLE).agg(F.max("o_num").alias("o_num"), *[F.max(f"__{n}").alias(f"__{n}") for n in graphs])
 
 
 def difference(old: DataFrame, new: DataFrame, *, include_equal: bool = False) -> DataFrame:
     """Statements with flag -1 (removed), +1 (added) or, if asked for, 0. Typed terms are compared, list members by place."""
-    a, b = _keyed(old).withColumn("__in_old", F.lit(True)), _keyed(new).withColumn("__in_new", F.lit(True))
-    keep = [c for c in COLUMNS if c not in STATEMENT]
-    b = b.select(*STATEMENT, "__in_new", *[F.col(c).alias(f"__new_{c}") for c in keep])
-    both = a.join(b, STATEMENT, "full_outer")
-    flag = F.when(F.col("__in_new").isNull(), -1).when(F.col("__in_old").isNull(), 1).otherwise(0)
-    out = both.select(flag.alias("flag"), "graph_iri", "s_kind", "s_id", "p", *[F.coalesce(c, f"__new_{c}").alias(c) for c in keep])
+    flag = F.when(~F.col("__new"), -1).when(~F.col("__old"), 1).otherwise(0)
+    out = _held(old=old, new=new).select(flag.alias("flag"), *COLUMNS)
     return out if include_equal else out.filter("flag <> 0")
 
 
@@ -69,9 +68,8 @@ def symbol(flag: Column) -> Column:
 
 def patch(base: DataFrame, diff: DataFrame) -> DataFrame:
     """base without the statements of flag -1 and with those of flag +1."""
-    d = diff.withColumn("__key", object_key())
-    kept = _keyed(base).join(d.filter("flag < 0").select(*STATEMENT), STATEMENT, "left_anti").select(*COLUMNS)
-    return as_set(kept.unionByName(d.filter("flag = 1").select(*COLUMNS)))
+    minus, plus = (diff.filter(f).select(*COLUMNS) for f in ("flag < 0", "flag = 1"))
+    return _held(base=base, minus=minus, plus=plus).filter("__plus OR (__base AND NOT __minus)").select(*COLUMNS)
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:

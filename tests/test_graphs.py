@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quadlake import model
 from quadlake.functions.literals import XSD
 from quadlake.model import OWL, RDF_TYPE, RDFS
 from quadlake.operators import closure, mutation, patterns, search, sets, stats, validation, vocabulary
@@ -84,6 +85,26 @@ def test_diff_patch_merge(spark):
     assert pairs(d.select(sets.symbol(F.col("flag")).alias("s")), "s") == {("-",), ("+",)}
 
 
+def test_sets_take_one_shuffle_and_no_joins(spark):
+    old = graph(spark, [("g#a", "g#p", str(i), f"{XSD}integer") for i in range(20)])
+    new = graph(spark, [("g#a", "g#p", str(i), f"{XSD}integer") for i in range(5, 30)])
+    twice = new.union(new)
+    d = sets.difference(old.union(old), twice)
+    assert pairs(d, "o_lex", "flag") == {(str(i), -1) for i in range(5)} | {(str(i), 1) for i in range(20, 30)} and d.count() == 15
+    patched = sets.patch(old.union(old), d.union(d))
+    assert sorted(r["o_num"] for r in patched.collect()) == list(range(5, 30))
+    plan = patched._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Join" not in plan
+
+
+def test_partitions_grow_with_the_input(spark, monkeypatch, tmp_path):
+    graph(spark, [("g#a", "g#p", str(i), f"{XSD}integer") for i in range(2000)]).write.parquet(f"{tmp_path}/q")
+    q = spark.read.parquet(f"{tmp_path}/q")
+    monkeypatch.setattr("quadlake._io.PART", 500)
+    for found in (model.as_set(q), sets.difference(q, q, include_equal=True), sets.patch(q, q.limit(0).withColumn("flag", F.lit(1)))):
+        assert found.rdd.getNumPartitions() > 20 and found.count() == 2000
+
+
 def test_sync_refs(spark):
     refs = "ds_id string, kind string, name string, commit string"
     t = spark.createDataFrame([("d", "branch", "master", "c1")], refs)
