@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadlake._io import discard, materialise
+from quadlake._io import discard, materialise, spread
 from quadlake.functions.iri import fragment, is_uuid
 from quadlake.model import object_key
 from quadlake.operators.patterns import nodes, referenced_graphs
@@ -65,14 +65,19 @@ def accumulate(q: DataFrame) -> DataFrame:
     return q.groupBy("graph_iri", "s_id", "p").agg(F.sort_array(F.collect_list(F.coalesce("o_lex", "o_id"))).alias("values"))
 
 
+#: Bytes by the planner's estimate of hashes that go to one partition, and up to how many partitions Spark writes them without a sort in memory.
+HASHES, WRITERS = 2 << 20, 200
+
+
 def graph_hash(q: DataFrame) -> DataFrame:
     """graph_iri, ng_rev: SHA-256 that depends on the set of statements only.
 
-    Statement hashes are summed as numbers in two halves, which needs no sort and combines before the shuffle.
+    Statement hashes are summed as numbers in four parts, which needs no sort and combines before the shuffle. Repeated statements are
+    found after a shuffle by hash, so that no task holds the hashes of a whole part of the input, however that is dealt out.
     """
     h = F.sha2(F.concat_ws("\x1e", "s_kind", "s_id", "p", object_key()), 256)
-    rows = q.select("graph_iri", h.alias("h")).distinct()
-    part = lambda i: F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
+    rows = spread(q.select("graph_iri", F.unhex(h).alias("h")), "h", part=HASHES, most=WRITERS).distinct()
+    part = lambda i: F.sum(F.conv(F.substring(F.hex("h"), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
     sums = rows.groupBy("graph_iri").agg(*[part(i).alias(f"h{i}") for i in range(4)], F.count(F.lit(1)).alias("n"))
     return sums.select("graph_iri", F.sha2(F.concat_ws(":", *[F.col(f"h{i}").cast("string") for i in range(4)], F.col("n").cast("string")), 256).alias("ng_rev"))
 

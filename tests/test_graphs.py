@@ -105,6 +105,14 @@ def test_partitions_grow_with_the_input(spark, monkeypatch, tmp_path):
         assert found.rdd.getNumPartitions() > 20 and found.count() == 2000
 
 
+def test_graph_hash_combines_after_the_shuffle(spark):
+    q = graph(spark, [("g#a", "g#p", "1", f"{XSD}integer"), ("g#b", "g#p", "g#a")])
+    assert stats.graph_hash(q).first()["ng_rev"] == "2bf8413733cb3eb532e7922ce82ca66cbdd0e3272b4ecf8fa8f3409537669499"
+    plan = stats.graph_hash(q.union(q).repartition(5, "o_lex"))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("hashpartitioning(h"):]
+    assert "Aggregate" not in below
+
+
 def test_sync_refs(spark):
     refs = "ds_id string, kind string, name string, commit string"
     t = spark.createDataFrame([("d", "branch", "master", "c1")], refs)
