@@ -15,6 +15,8 @@ from quadlake.operators import _chains
 
 #: Nodes of a chain that are paired at a time.
 BLOCK = 256
+#: Blocks whose pairs a task makes: they are small as files, and a reader would put many into one task.
+TOGETHER = 500
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -52,7 +54,8 @@ def _blocks(places: DataFrame) -> DataFrame:
 
 def _chain_pairs(blocks: DataFrame) -> DataFrame:
     """All pairs of a chain, block by block; only blocks are shuffled, once for each later block of their chain."""
-    at = blocks.select("head", "k", "nodes", F.posexplode("nodes").alias("i", "a"))
+    dealt = blocks.repartition(blocks.count() // TOGETHER + 1, "head", "k")
+    at = dealt.select("head", "k", "nodes", F.posexplode("nodes").alias("i", "a"))
     own = at.select("a", "i", F.posexplode(F.slice("nodes", F.col("i") + 2, BLOCK)).alias("j", "b")).select("a", "b", (F.col("j") + 1).alias("depth"))
     count = blocks.groupBy("head").agg(F.max("k").alias("most")).filter("most > 0")
     to = blocks.join(count, "head").filter("k < most").select("head", F.col("k").alias("from"), F.col("nodes").alias("xs"), F.explode(F.sequence(F.col("k") + 1, F.col("most"))).alias("k"))
